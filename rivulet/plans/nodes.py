@@ -497,7 +497,8 @@ class Recursive(Node):
         if self.all_rows or step.root is not self or step.own is None or any(not d.where(f"{W} < 0").isEmpty() for t, d in step.deltas.items() if t in self.sources()):
             return super().rule(step)
         # Only insertions: what one more step makes of the present rows, and new anchor rows, seed the frontier.
-        own = step.own
+        # Rows that earlier batches took back are still in the segments, at weight zero.
+        own = step.fixed(Z.distinct(step.own))
         names = Z.columns(own)
         seed = self.body(own, step.new).toDF(*own.columns)
         d = self.children[0].delta(step)
