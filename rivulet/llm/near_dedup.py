@@ -7,8 +7,10 @@ bins, the same for every text, which keeps each bin's collision probability at
 the Jaccard similarity.  Bands of bins make buckets; in a bucket every text is
 paired with the bucket's least id only, a star of n - 1 edges instead of
 n * (n - 1) / 2.  Edges are confirmed on the full shingle sets.  Buckets whose
-texts are not all connected afterwards get further stars, centred on a text
-outside the first component, until a round finds no new link.
+texts are not all connected afterwards get further stars: 4 centres, then 16,
+and so on, each compared with the texts of other components only, until every
+text of such a bucket has been a centre.  So a link whose texts share a bucket
+is never missed because the bucket's first centre was unlike both.
 
 Texts with equal sets are one class, linked without a comparison; everything
 after that works on one representative a class, so copies never become pairs.
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, fits, ship, text_of
+from rivulet.llm.common import cut, fits, ship, text_of, with_bound
 
 BINS = 256
+#: Centres of a bucket that stays unconnected: so many in the first further round, times so many in each next one.
+GROWTH = 4
 WHITES = np.zeros(256, bool)
 WHITES[[9, 10, 11, 12, 13, 32]] = True
 #: Bands and rows a band; at the threshold a pair shares no bucket with probability below 1e-8.
@@ -185,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id: one row per input row.
 
     Two texts are linked at 100 * |A & B| >= threshold * |A | B| over their
@@ -210,22 +214,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds
     sets = full_sets(docs, involved, width)
     links, tried = confirm(edges, sets, threshold), edges
     comps = components(links)
-    for _ in range(rounds):
-        known = shared.select("band", "rep").join(comps, "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-        split = known.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high")
-        open_ = cut(known.join(cut(split), "band"))
-        # The next centre: the least text outside the bucket's first component; it meets all texts of other components.
-        centre = open_.where("comp > _low").groupBy("band").agg(F.min(F.struct("rep", "comp")).alias("_c"))
-        pairs = open_.select("band", "rep", "comp").join(cut(centre), "band").where(F.col("_c.comp") != F.col("comp"))
-        pairs = pairs.select(F.least("rep", "_c.rep").alias("hub"), F.greatest("rep", "_c.rep").alias("rep")).distinct()
-        pairs = cut(pairs.join(tried, ["hub", "rep"], "left_anti"))
-        if pairs.isEmpty():
+    wanted = GROWTH
+    while True:
+        known = shared.select("band", "rep", "n").join(comps, "rep", "left").select("band", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        split = known.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_m")).where("_low < _high")
+        split = cut(split.select("band", "_m"))
+        most = split.agg(F.max("_m")).first()[0]
+        if most is None:
             break
+        open_ = cut(known.join(with_bound(split), "band"))
+        # About `wanted` centres a bucket, all of its texts once it has no more; each meets the texts of other components.
+        centre = open_.where(F.pmod(F.xxhash64("band", "rep"), F.ceil(F.col("_m") / wanted)) == 0)
+        centre = with_bound(cut(centre.select("band", F.col("rep").alias("_c"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))))
+        pairs = open_.join(centre, "band").where("comp <> _comp").where(100 * F.least("n", "_n") >= threshold * F.greatest("n", "_n"))
+        pairs = pairs.select(F.least("rep", "_c").alias("hub"), F.greatest("rep", "_c").alias("rep")).distinct()
+        pairs = cut(pairs.join(tried, ["hub", "rep"], "left_anti"))
         more = confirm(pairs, sets, threshold)
-        if more.isEmpty():
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps = components(links)
+        if wanted >= most:
             break
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-        comps = components(links)
+        tried, wanted = tried.unionByName(pairs), wanted * GROWTH
     classes = comps if not fits(comps) else F.broadcast(comps)
     linked = member.join(classes, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), F.col("rep").alias("class_id"))
     alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))

@@ -180,3 +180,30 @@ def test_licenses(docs):
 
 def test_digest_of_no_spans():
     assert secret_scan.digest("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_near_duplicates_in_crowded_buckets(spark):
+    """Pairs of near copies among many texts that share buckets with them but are unlike: no link is lost."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(160)]
+    first, second = [], []
+    for v in range(40):
+        words = list(base)
+        for at in rng.sample(range(160), 7):
+            words[at] = f"v{v}at{at}"
+        first.append(" ".join(words))
+        words[rng.randrange(160)] = "again"
+        second.append(" ".join(words))
+    texts = dict(enumerate(first + second))
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.split(" ")) for i, t in texts.items())}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+        if all(label[a] == label[label[a]] for a in label):
+            break
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert got == label and 2 < len(set(got.values())) < 80
