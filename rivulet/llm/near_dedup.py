@@ -6,11 +6,15 @@ A text's word shingles are hashed once; the hash's leading bits choose one of
 bins, the same for every text, which keeps each bin's collision probability at
 the Jaccard similarity.  Bands of bins make buckets; in a bucket every text is
 paired with the bucket's least id only, a star of n - 1 edges instead of
-n * (n - 1) / 2.  Edges are confirmed on the full shingle sets.  Buckets whose
-texts are not all connected afterwards get further stars: 4 centres, then 16,
-and so on, each compared with the texts of other components only, until every
-text of such a bucket has been a centre.  So a link whose texts share a bucket
-is never missed because the bucket's first centre was unlike both.
+n * (n - 1) / 2.  Edges are confirmed on the full shingle sets.
+
+A star misses a link if its centre is unlike both texts.  So the texts of
+buckets that are not all connected afterwards meet again by their rarest
+shingles, of which linked sets always share one (prefix filtering): 16 centres a
+shingle, then 256, and so on, each compared with the texts of other components
+only, until every text has been a centre.  No link among texts of shared buckets
+is missed, and a crowd of unlike variants of one text makes few pairs, since
+what they have in common is not rare.
 
 Texts with equal sets are one class, linked without a comparison; everything
 after that works on one representative a class, so copies never become pairs.
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import cut, fits, ship, text_of, with_bound
 
 BINS = 256
-#: Centres of a bucket that stays unconnected: so many in the first further round, times so many in each next one.
-GROWTH = 4
+#: Centres of a rare shingle: so many in the first round, times so many in each next one.
+GROWTH = 16
 WHITES = np.zeros(256, bool)
 WHITES[[9, 10, 11, 12, 13, 32]] = True
 #: Bands and rows a band; at the threshold a pair shares no bucket with probability below 1e-8.
@@ -145,6 +149,35 @@ def full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return cut(texts.mapInArrow(_pack(width), "rep long, n long, packed binary").dropDuplicates(["rep"]))
 
 
+def _shingles(batches):
+    for b in batches:
+        packed = b.column(1)
+        at = [np.frombuffer(packed[i].as_buffer(), np.int64) for i in range(b.num_rows)]
+        reps = np.repeat(b.column(0).to_numpy(), [len(x) for x in at])
+        ids = np.concatenate(at) if at else np.zeros(0, np.int64)
+        for k in range(0, len(ids), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(reps[k : k + (1 << 16)]), pa.array(ids[k : k + (1 << 16)])], ["rep", "shingle"])
+
+
+def rare_shingles(sets: DataFrame, threshold: int) -> DataFrame:
+    """key, rep, n, pos: each set's rarest shingles, of which two linked sets always share one; written.
+
+    A link needs at least threshold percent of n shingles in common, so in one
+    order of all shingles the first n - ceil(threshold * n / 100) + 1 of both
+    sets meet (prefix filtering).  The order is by number of sets, then hash;
+    shingles of one set only take their places but need no row.  pos is the
+    place in the order: sets that first meet at places p and q have at most
+    min(n - p, m - q) shingles in common.
+    """
+    seen = sets.select("rep", "packed").mapInArrow(_shingles, "rep long, shingle long")
+    often = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    per = seen.join(often, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("_df", "shingle"))).alias("_s"))
+    room = F.expr(f"n - ({threshold} * n + 99) div 100 + 1 - (n - size(_s))").cast("int")
+    per = per.join(sets.select("rep", "n"), "rep").withColumn("_room", room).where("_room > 0")
+    per = per.select("rep", "n", (F.col("n") - F.size("_s")).alias("_own"), F.posexplode(F.slice("_s", 1, F.col("_room"))["shingle"]).alias("_at", "key"))
+    return cut(per.select("key", "rep", "n", (F.col("_own") + F.col("_at")).alias("pos")))
+
+
 def _confirm(threshold: int):
     def run(batches):
         for b in batches:
@@ -214,19 +247,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     sets = full_sets(docs, involved, width)
     links, tried = confirm(edges, sets, threshold), edges
     comps = components(links)
-    wanted = GROWTH
+    # Texts of buckets that are not connected yet meet again by their rare shingles.
+    low = shared.select("band", "rep").join(comps, "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    split = cut(low.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("band"))
+    rest = cut(shared.select("band", "rep").join(with_bound(split), "band", "left_semi").select("rep").distinct())
+    rare, wanted = rare_shingles(sets.join(with_bound(rest), "rep", "left_semi"), threshold), GROWTH
     while True:
-        known = shared.select("band", "rep", "n").join(comps, "rep", "left").select("band", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        split = known.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_m")).where("_low < _high")
-        split = cut(split.select("band", "_m"))
+        known = rare.join(comps, "rep", "left").select("key", "rep", "n", "pos", F.coalesce("comp", "rep").alias("comp"))
+        split = known.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_m")).where("_low < _high")
+        split = cut(split.select("key", "_m"))
         most = split.agg(F.max("_m")).first()[0]
         if most is None:
             break
-        open_ = cut(known.join(with_bound(split), "band"))
-        # About `wanted` centres a bucket, all of its texts once it has no more; each meets the texts of other components.
-        centre = open_.where(F.pmod(F.xxhash64("band", "rep"), F.ceil(F.col("_m") / wanted)) == 0)
-        centre = with_bound(cut(centre.select("band", F.col("rep").alias("_c"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))))
-        pairs = open_.join(centre, "band").where("comp <> _comp").where(100 * F.least("n", "_n") >= threshold * F.greatest("n", "_n"))
+        open_ = cut(known.join(with_bound(split), "key"))
+        # About `wanted` centres a key, all of its texts once it has no more; each meets the texts of other components.
+        centre = open_.where(F.pmod(F.xxhash64("key", "rep"), F.ceil(F.col("_m") / wanted)) == 0)
+        centre = with_bound(cut(centre.select("key", F.col("rep").alias("_c"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col("comp").alias("_comp"))))
+        enough = (100 + threshold) * F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) >= threshold * (F.col("n") + F.col("_n"))
+        pairs = open_.join(centre, "key").where("comp <> _comp").where(enough)
         pairs = pairs.select(F.least("rep", "_c").alias("hub"), F.greatest("rep", "_c").alias("rep")).distinct()
         pairs = cut(pairs.join(tried, ["hub", "rep"], "left_anti"))
         more = confirm(pairs, sets, threshold)
