@@ -14,6 +14,7 @@ import hashlib
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -26,6 +27,8 @@ CHUNK = re.compile(" +[^ ]*")
 class ChunkTable(Recent):
     """chunk (its first marker as a space) -> its ids as little-endian uint32 bytes."""
 
+    GENERATION = 150_000
+
     def __init__(self, model: str):
         import sentencepiece
 
@@ -56,6 +59,10 @@ class ChunkTable(Recent):
         now = dict(zip(new, self.segment(new))) if new else {}
         for c, ids in now.items():
             self.put(c, ids)
+        if len(self.changed) > 2 * self.GENERATION:
+            # A chunk outside the tables is noted again when it is segmented again; those of this group stay.
+            own = now.keys() | set().union(*chunks)
+            self.changed = {c: d for c, d in self.changed.items() if c in self or c in self.old or c in own}
         self.make = lambda chunk: now[chunk] if chunk in now else self.segment([chunk])[0]
         out = []
         for t, own in zip(texts, chunks):
@@ -88,15 +95,22 @@ def _encode(model: str, outputs: str):
     def run(batches):
         t = table(model)
         bos, eos = (array("I", [x]).tobytes() for x in (t.sp.bos_id(), t.sp.eos_id()))
+        digests = outputs == "digests"
         for b in batches:
-            n, ids, decoded = [], [], []
-            for body, back in (pair for group in _grouped(b.column(1).to_pylist()) for pair in t.encode(group)):
-                whole = bos + body + eos
-                n.append(len(whole) // 4)
-                ids.append(hashlib.sha256(whole).hexdigest() if outputs == "digests" else array("I", whole).tolist())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest() if outputs == "digests" else back)
-            kind = pa.string() if outputs == "digests" else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            done = 0
+            # A group's ids go out as one buffer before the next group is encoded.
+            for group in _grouped(b.column(1).to_pylist()):
+                bodies, decoded = zip(*t.encode(group))
+                whole = [bos + body + eos for body in bodies]
+                n = pa.array([len(w) // 4 for w in whole], pa.int64())
+                if digests:
+                    ids = pa.array([hashlib.sha256(w).hexdigest() for w in whole], pa.string())
+                    decoded = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
+                else:
+                    ends = np.cumsum([0, *(len(w) // 4 for w in whole)])
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(whole), np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(group)), n, ids, pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                done += len(group)
 
     return run
 
