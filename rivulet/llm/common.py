@@ -93,6 +93,13 @@ def ship(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of so many rows, so that a Python worker holds the objects of one part only."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 

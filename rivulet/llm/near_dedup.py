@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, fits, ship, text_of, with_bound
+from rivulet.llm.common import cut, fits, ship, slices, text_of, with_bound
 
 BINS = 256
 #: Centres of a rare shingle: so many in the first round, times so many in each next one.
@@ -112,7 +112,7 @@ def _sketch(width: int, bands: int, rows: int):
     def run(batches):
         import hashlib
 
-        for b in batches:
+        for b in slices(batches):
             n, digest, band = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, width)
@@ -126,7 +126,7 @@ def _sketch(width: int, bands: int, rows: int):
 
 def _pack(width: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "packed"])
 
@@ -150,7 +150,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
 
 
 def _shingles(batches):
-    for b in batches:
+    for b in slices(batches):
         packed = b.column(1)
         at = [np.frombuffer(packed[i].as_buffer(), np.int64) for i in range(b.num_rows)]
         reps = np.repeat(b.column(0).to_numpy(), [len(x) for x in at])
@@ -180,7 +180,7 @@ def rare_shingles(sets: DataFrame, threshold: int) -> DataFrame:
 
 def _confirm(threshold: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             a, c = b.column(2), b.column(3)
             good = []
             for i in range(b.num_rows):

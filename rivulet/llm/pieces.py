@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rivulet.llm.common import Recent, ship, text_of
+from rivulet.llm.common import Recent, ship, slices, text_of
 
 MARK = "▁"
 CHUNK = re.compile(" +[^ ]*")
@@ -96,7 +96,7 @@ def _encode(model: str, outputs: str):
         t = table(model)
         bos, eos = (array("I", [x]).tobytes() for x in (t.sp.bos_id(), t.sp.eos_id()))
         digests = outputs == "digests"
-        for b in batches:
+        for b in slices(batches):
             done = 0
             # A group's ids go out as one buffer before the next group is encoded.
             for group in _grouped(b.column(1).to_pylist()):
