@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from rivulet.errors import ViewError
 from rivulet.functions import zset as Z
 from rivulet.functions.zset import W
+from rivulet.plans.sqlrules import way
 
 _ids = itertools.count()
 
@@ -508,19 +509,51 @@ class Recursive(Node):
 
 
 class Sql(Node):
-    """A query in Spark SQL over tracked tables and views: evaluated as it is, changes by difference."""
+    """A query in Spark SQL over tracked tables and views, evaluated as it is.
+
+    Its delta rule is read off the analyzed plan, table by table: tables that
+    changed in one batch are taken in turn, those before as they are now, those
+    after as they were.  If one of them admits no rule, both sides are
+    evaluated and subtracted.
+    """
 
     def __init__(self, text: str, reads: set[str]):
         self.text, self.reads = text, reads
+        self._ways: dict[str, list[str] | None] = {}
 
     def sources(self):
         return self.reads
 
-    def full(self, at):
+    def query(self, at) -> DataFrame:
         some = next(iter(at.values())).sparkSession
         for t in self.reads:
             Z.rows(at[t]).createOrReplaceTempView(t)
-        out = some.sql(self.text)
+        return some.sql(self.text)
+
+    def way(self, table: str, at) -> list[str] | None:
+        if table not in self._ways:
+            self._ways[table] = way(self.query(at), table)
+        return self._ways[table]
+
+    def rule(self, step):
+        changed = sorted(t for t in self.reads if t in step.deltas)
+        ways = [self.way(t, step.old) for t in changed]
+        if any(w is None for w in ways):
+            return super().rule(step)
+        at, parts = dict(step.old), []
+        for t, names in zip(changed, ways):
+            d = step.deltas[t]
+            if names:
+                keys = step.fixed(d.select(*[F.col(f"`{n}`") for n in names]).distinct())
+                new, old = Z.touched(step.new[t], keys, names), Z.touched(step.old[t], keys, names)
+            else:
+                new, old = d, Z.negate(d)
+            parts.append(Z.difference(self.full(at | {t: new}), self.full(at | {t: old})))
+            at[t] = step.new[t]
+        return Z.plus(*parts)
+
+    def full(self, at):
+        out = self.query(at)
         names, seen = [], set()
         for n in out.columns:
             new, i = n, 0

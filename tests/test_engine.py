@@ -37,6 +37,34 @@ VIEWS = {
     "sql": (lambda: "SELECT tag, count(*) AS n FROM t WHERE id NOT IN (SELECT id FROM u) GROUP BY tag", "SELECT tag, count(*) AS n FROM t WHERE id NOT IN (SELECT id FROM u) GROUP BY tag"),
 }
 
+# Views given as text: kept by a rule read off their plan, or evaluated on both sides.
+TEXTS = {
+    "text_join": ("SELECT t.id, t.val * 2 AS w, u.tag FROM t JOIN u ON t.id = u.id WHERE t.val > 10", {"t": [], "u": []}),
+    "text_group": ("SELECT tag AS g, sum(val) AS s, count(*) AS n FROM (SELECT * FROM t WHERE val > 10) GROUP BY tag HAVING count(*) > 1", {"t": ["tag"]}),
+    "text_window": ("SELECT id, tag, rank() OVER (PARTITION BY tag ORDER BY val, id) AS r FROM t", {"t": ["tag"]}),
+    "text_outer": ("SELECT x.tag, count(y.id) AS n FROM t x LEFT JOIN u y ON x.id = y.id GROUP BY x.tag", {"t": ["tag"], "u": None}),
+    "text_distinct": ("SELECT DISTINCT tag, val % 3 AS m FROM t", {"t": ["tag"]}),
+    "text_two_keys": ("SELECT a, count(*) AS n FROM (SELECT tag AS a, id, max(val) AS v FROM t GROUP BY tag, id) GROUP BY a", {"t": ["tag"]}),
+    "text_lost_key": ("SELECT DISTINCT n FROM (SELECT tag, count(*) AS n FROM t GROUP BY tag)", {"t": None}),
+    "text_subquery": ("SELECT id, val FROM t WHERE val > (SELECT min(val) FROM u) AND EXISTS (SELECT 1 FROM u WHERE u.id = t.id)", {"t": [], "u": None}),
+    "text_itself": ("SELECT id FROM t WHERE val >= (SELECT avg(val) FROM t)", {"t": None}),
+    "text_total": ("SELECT count(*) AS n, sum(val) AS s FROM t", {"t": None}),
+    "text_limit": ("SELECT id FROM t ORDER BY id, val, tag LIMIT 2", {"t": None}),
+    "text_expression_key": ("SELECT upper(tag) AS g, count(*) AS n FROM t GROUP BY upper(tag)", {"t": None}),
+    "text_cte": ("WITH c AS (SELECT id, tag FROM t) SELECT * FROM c", {"t": None}),
+    "text_sets": ("SELECT tag, id, count(*) AS n FROM t GROUP BY ROLLUP (tag, id)", {"t": None}),
+}
+VIEWS |= {name: ((lambda sql=sql: sql), sql) for name, (sql, _) in TEXTS.items()}
+
+
+def test_rules_of_texts(spark):
+    from rivulet.plans.sqlrules import way
+
+    for n, rows in (("t", SEED_T), ("u", SEED_U)):
+        spark.createDataFrame(rows, COLS).createOrReplaceTempView(n)
+    for name, (sql, ways) in TEXTS.items():
+        assert {t: way(spark.sql(sql), t) for t in ways} == ways, name
+
 
 def test_random_batches(spark):
     rng = random.Random(5)
