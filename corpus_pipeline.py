@@ -23,8 +23,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = quality.quality(docs)
-    return _without(docs, cut(verdict.where(~F.col("kept")).select("doc_id")))
+    return quality.cleaned(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,24 +34,24 @@ def _repeat_words(grams: str) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), at)
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, _key, _host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+def document_stats(docs: DataFrame, carry: dict | None = None) -> DataFrame:
+    """doc_id, _key, _host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed and the carried columns (name -> Column over docs)."""
     text = text_of(docs)
-    df = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("_host"), text.alias("_t"), words(text).alias("_w"))
+    df = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("_host"), text.alias("_t"), words(text).alias("_w"), *[c.alias(n) for n, c in (carry or {}).items()])
     df = df.withColumn("_n", F.size("_w"))
     grams = F.expr("if(_n > 2, transform(sequence(0, _n - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])), cast(array() as array<bigint>))")
     df = df.select(
         "doc_id", "_host", F.xxhash64("_t").alias("_key"), F.col("_n").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        _dup_lines(F.col("_t")).cast("long").alias("n_dup_lines"), grams.alias("_g"),
+        _dup_lines(F.col("_t")).cast("long").alias("n_dup_lines"), grams.alias("_g"), *(carry or {}),
     )
     # Sorted (hash, position) pairs: equal neighbours are windows found twice; covered words follow from their positions.
     twice = "sort_array(transform(filter(s, (x, k) -> (k > 0 and s[k - 1].h = x.h) or (k < size(s) - 1 and s[k + 1].h = x.h)), x -> x.i))"
     covered = f"transform(array(_s), s -> aggregate({twice}, named_struct('n', 0L, 'last', -3), (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p), a -> a.n))[0]"
     df = df.withColumn("_s", _repeat_words("_g")).withColumn("n_repeat_words", F.coalesce(F.when(F.col("_s").isNotNull(), F.expr(covered)), F.lit(0).cast("long")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.select("doc_id", "_host", "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return df.select("doc_id", "_host", "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *(carry or {}))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -72,21 +72,47 @@ def boilerplate(docs: DataFrame, least: int = LEAST_DOCS, share: float = SHARE)
     return cut(over.select("_host", "_line"))
 
 
-def quality(docs: DataFrame, least: int = LEAST_DOCS, share: float = SHARE, left: float = LEAST_LEFT) -> DataFrame:
-    """doc_id, the statistics, base_failed, n_removed (words in removed lines), kept: one row per input row.
-
-    A null or empty text has no words and fails; a null source is a host of
-    its own; repeated rows of a document get the same verdict; an empty table
-    gives an empty result.
-    """
+def _removed(docs: DataFrame, least: int, share: float) -> DataFrame:
+    """_d, _k, _gone (words in removed lines), _lines (their positions): a row for each text with boilerplate (written)."""
     common = with_bound(cut(boilerplate(docs, least, share).select(F.col("_host").alias("_h"), F.col("_line").alias("_c"))))
     hit = _lines(docs).join(common, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_line") == F.col("_c")))
     # Repeated rows of a document must not add up, hence once per position.
     once = hit.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_at").agg(F.max(F.size(words(F.col("_l")))).alias("_n"))
-    removed = cut(once.groupBy("_d", "_k").agg(F.sum("_n").alias("_gone")))
-    stats = document_stats(docs)
-    out = stats.join(with_bound(removed), stats["doc_id"].eqNullSafe(F.col("_d")) & (stats["_key"] == F.col("_k")), "left")
+    return cut(once.groupBy("_d", "_k").agg(F.sum("_n").alias("_gone"), F.collect_list("_at").alias("_lines")))
+
+
+def _judged(stats: DataFrame, removed: DataFrame, left: float) -> DataFrame:
+    """stats with the columns of removed, n_removed and kept."""
+    out = stats.join(removed, stats["doc_id"].eqNullSafe(F.col("_d")) & (stats["_key"] == F.col("_k")), "left")
     gone = F.coalesce("_gone", F.lit(0).cast("long"))
     rest = F.col("n_words") - gone
     depleted = (gone > 0) & ((rest < LEAST_WORDS) | (rest < left * F.col("n_words")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", gone.alias("n_removed"), (~F.col("base_failed") & ~depleted).alias("kept"))
+    return out.withColumn("n_removed", gone).withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def quality(docs: DataFrame, least: int = LEAST_DOCS, share: float = SHARE, left: float = LEAST_LEFT) -> DataFrame:
+    """doc_id, the statistics, base_failed, n_removed (words in removed lines), kept: one row per input row.
+
+    A null or empty text has no words and fails; a null source is a host of
+    its own; repeated rows of a document get the same verdict; an empty table
+    gives an empty result.  cleaned() gives the texts without those lines.
+    """
+    out = _judged(document_stats(docs), with_bound(_removed(docs, least, share).select("_d", "_k", "_gone")), left)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept")
+
+
+def cleaned(docs: DataFrame, least: int = LEAST_DOCS, share: float = SHARE, left: float = LEAST_LEFT) -> DataFrame:
+    """The kept rows with docs' columns, text without its boilerplate lines.
+
+    Other lines stay as they are, blank ones too; n_chars, where there is one,
+    is counted again for a text that lost lines.  Rows are judged by doc_id
+    (null-safe) and text together.
+    """
+    stats = document_stats(docs, {"_row": F.struct(*[docs[c] for c in docs.columns])})
+    out = _judged(stats, with_bound(_removed(docs, least, share), 50_000), left).where("kept")
+    lost = F.col("_lines").isNotNull()
+    rest = F.expr("array_join(filter(split(cast(_row.text AS string), '\\n', -1), (x, i) -> not array_contains(_lines, i)), '\\n')")
+    new = {"text": F.when(lost, rest).otherwise(F.col("_row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(lost, F.length(rest).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
