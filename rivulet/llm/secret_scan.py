@@ -1,7 +1,7 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration syntax is parsed into name-literal pairs: quoted keys,
-dotted and indexed names, ``=``, ``:``, ``:=``, ``=>``, quoted or bare literals
+dotted and indexed names, names with a type, ``=``, ``:``, ``:=``, ``=>``, quoted or bare literals
 and joined string parts.  Constants propagate: a name whose value is another
 name takes that name's literal.  A literal is scored by how sensitive its target
 name is and by its own form.  Three plain patterns (assign, access, hex) run
@@ -34,7 +34,13 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|placeholder|none|null|true|false|undefined|todo|your[\w-]*|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\})$")
 OPERATOR = re.compile(r":=|=>|=(?![=~])|:(?![:/])")
-NAME = re.compile(r"""(?:(["'`])([A-Za-z_][\w.\- ]{0,63})\1|([A-Za-z_$][\w$.\-]{0,127}))(?:\[\w*\])?[ \t]*$""")
+_NAME = r"""(?:(["'`])([A-Za-z_][\w.\- ]{0,63})\1(?:[ \t]*\])?|([A-Za-z_$][\w$.\-]{0,127}))(?:\[\w*\])*"""
+#: A name; of an index in quotes, its last one.
+NAME = re.compile(_NAME + r"[ \t]*$")
+#: A name with a type after a colon, before ``=``.
+TYPED = re.compile(_NAME + r"""\??[ \t]*:[ \t]*(?:[&*]+(?:'\w+[ \t]+)?(?:mut[ \t]+)?)?[A-Za-z_][\w.:]*(?:[\[<][\w.,:|&' \t\[\]<>]*[\]>])?(?:[ \t]*\|[ \t]*[A-Za-z_][\w.\[\]]*)*[?!]?[ \t]*$""")
+#: Types that are not taken for constants of that name.
+TYPES = {"str", "string", "bytes", "bytearray", "char", "any", "object", "text", "none", "null", "undefined"}
 LITERAL = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]]+))""")
 JOINED = re.compile(r"""[ \t]*(?:\+|\.)?[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')""")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -64,11 +70,10 @@ def pairs_of(text: str) -> list[tuple[str, str, int, int]]:
     out, known = [], {}
     for op in OPERATOR.finditer(text):
         line = text.rfind("\n", max(0, op.start() - 200), op.start()) + 1 or max(0, op.start() - 200)
-        name = NAME.search(text, line, op.start())
-        lit = name and LITERAL.match(text, op.end())
+        names = [m[2] or m[3] for m in (NAME.search(text, line, op.start()), op[0] == "=" and TYPED.search(text, line, op.start())) if m]
+        lit = names and LITERAL.match(text, op.end())
         if not lit:
             continue
-        name = name[2] or name[3]
         which = lit.lastindex
         value, start, end = lit[which], lit.start(which), lit.end(which)
         if which == 4:
@@ -76,12 +81,17 @@ def pairs_of(text: str) -> list[tuple[str, str, int, int]]:
                 value, start, end = known[value]
             elif re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*", value) and not re.search(r"\d", value):
                 continue  # an unknown name, not a literal
+            elif re.fullmatch(r"[A-Za-z_][\w.]*[?!]", value) and re.match(r"[ \t]*=(?!=)", text[lit.end() : lit.end() + 9]):
+                continue  # a type
         else:
             at = lit.end()
             while more := JOINED.match(text, at):
                 value, end, at = value + more[more.lastindex], more.end(more.lastindex), more.end()
-        known[name] = (value, start, end)
-        out.append((name, value, start, end))
+        # After a colon both may be the target: of `api_token: str = ` the first name, of `if old: api_token = ` the second.
+        for name in names:
+            if len(names) == 1 or name.lower() not in TYPES:
+                known[name] = (value, start, end)
+                out.append((name, value, start, end))
     return out
 
 
