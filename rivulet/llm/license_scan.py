@@ -1,16 +1,21 @@
 """License scans: normalised segments against licence templates by Dice coefficient over word bigrams.
 
-A segment is a line or a paragraph of several lines.  With n and m distinct
+A segment is a line, a paragraph of several lines, or a window of a template's
+number of words anywhere in the text (the whole text if that is shorter); full
+licence texts are compared with windows only.  With n and m distinct
 bigrams the coefficient is at most 2 * min(n, m) / (n + m), so a template is
 compared only with segments of between t / (2 - t) and (2 - t) / t times its
-size; most segments are dropped by that bound before a bigram is made.
+size; most segments are dropped by that bound before a bigram is made.  Windows
+are made only in texts that hold enough of a template's words.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import cut, text_of, with_bound
@@ -33,6 +38,8 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("proprietary", "All rights reserved."),
 )
+#: Full licence texts, named by their files.
+TEXTS = tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
 LEAST_DICE = 0.85
 
 
@@ -44,7 +51,44 @@ def bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def license_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
+def _listed(items) -> Column:
+    """A constant array of words or bigrams, as one literal."""
+    return F.split(F.lit("|".join(items)), "\\|")
+
+
+def window_matches(docs: DataFrame, templates, least: float = LEAST_DICE) -> DataFrame:
+    """doc_id, _key, license, dice: the best window of each template found, of all windows with its number of words."""
+    table, every = [], set()
+    for name, text in templates:
+        w = template_words(text)
+        grams = bigrams(w)
+        if not grams:
+            continue
+        every |= set(w)
+        # n >= shared distinct bigrams, so a match shares need of them; each one missing leaves out one word at most, and one more at an end.
+        need = math.ceil(len(grams) * least / (2 - least) - 1e-9)
+        able = len(set(w)) - (len(grams) - need) - 1
+        table.append(F.struct(F.lit(name).alias("license"), _listed(sorted(set(w))).alias("words"), _listed(grams).alias("grams"), F.lit(len(w) - 1).alias("k"), F.lit(need).alias("need"), F.lit(able).alias("able")))
+    text = text_of(docs)
+    df = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("_key"), F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ").alias("_w"))
+    df = df.withColumn("_f", F.array_intersect("_w", _listed(sorted(every))))
+    likely = F.filter(F.array(*table), lambda t: (F.size("_f") >= t["able"]) & (F.size("_w") > 1) & (F.size(F.array_intersect("_f", t["words"])) >= t["able"]))
+    df = df.select("doc_id", "_key", "_w", F.explode(likely).alias("_t"))
+    df = df.withColumn("_g", F.transform(F.slice("_w", F.lit(1), F.size("_w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("_w", i + 1))))
+    df = df.withColumn("_hit", F.array_intersect("_g", "_t.grams")).where(F.size("_hit") >= F.col("_t.need"))
+    df = df.withColumn("_n", F.size("_g")).withColumn("_k", F.least("_n", "_t.k"))
+    # A bigram at i counts in the windows that begin after its last occurrence before i, at i - k + 1 at the earliest, and no later than i.
+    df = df.withColumn("_s", F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    begin = "greatest(0, x.i - _k + 1, if(j > 0 and s[j - 1].g = x.g, s[j - 1].i + 1, 0))"
+    df = df.withColumn("_m", F.expr(f"transform(array(_s), s -> transform(s, (x, j) -> struct(x.i as i, {begin} as a, if(array_contains(_hit, x.g), 1, 0) as h)))[0]"))
+    df = df.withColumn("_e", F.expr("sort_array(concat(transform(_m, m -> struct(m.a as at, 1 as d, m.h as s)), transform(_m, m -> struct(m.i + 1 as at, -1 as d, -m.h as s))))"))
+    # Running sums: a.d distinct bigrams, a.s of them shared, in each window that begins at a.at or later, before e.at.
+    here = "if(e.at > a.at and a.at <= _n - _k, greatest(a.best, 2.0D * a.s / (a.d + size(_t.grams))), a.best)"
+    dice = F.expr(f"aggregate(_e, named_struct('at', 0, 'd', 0, 's', 0, 'best', 0.0D), (a, e) -> named_struct('at', e.at, 'd', a.d + e.d, 's', a.s + e.s, 'best', {here}), a -> a.best)")
+    return df.select("doc_id", "_key", F.col("_t.license").alias("license"), dice.alias("dice")).where(F.col("dice") >= least)
+
+
+def license_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE, texts=TEXTS) -> DataFrame:
     """doc_id, _key, license, dice: a row for each document and licence that it matches."""
     known = [(name, bigrams(template_words(text))) for name, text in templates]
     known = [(name, grams) for name, grams in known if grams]
@@ -73,16 +117,18 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_D
     table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, g)).alias("grams")) for n, g in known])
     pairs = seg.withColumn("_t", F.explode(table)).where(F.size("_g").between(F.size("_t.grams") * (least / (2 - least)) - 1e-9, F.size("_t.grams") * ((2 - least) / least) + 1e-9))
     dice = 2.0 * F.size(F.array_intersect("_g", "_t.grams")) / (F.size("_g") + F.size("_t.grams"))
-    return pairs.withColumn("dice", dice).where(F.col("dice") >= least).groupBy("doc_id", "_key", F.col("_t.license").alias("license")).agg(F.max("dice").alias("dice"))
+    pairs = pairs.select("doc_id", "_key", F.col("_t.license").alias("license"), dice.alias("dice")).where(F.col("dice") >= least)
+    pairs = pairs.unionByName(window_matches(docs, (*templates, *texts), least))
+    return pairs.groupBy("doc_id", "_key", "license").agg(F.max("dice").alias("dice"))
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE, texts=TEXTS) -> DataFrame:
     """doc_id, n_licenses (long), licenses (names in order, comma-joined), license (best, first by name on ties), dice: one row per input row.
 
     Null and empty texts match nothing (license null, dice 0); repeated rows
     of a document repeat its result.
     """
-    found = license_matches(docs, templates, least).groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))
+    found = license_matches(docs, templates, least, texts).groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))
     found = found.agg(F.array_sort(F.collect_set("license")).alias("_all"), F.array_sort(F.collect_list(F.struct((-F.col("dice")).alias("d"), "license"))).alias("_ranked"))
     found = with_bound(cut(found.select("_d", "_k", "_all", F.element_at("_ranked", 1).alias("_best"))))
     base = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text_of(docs)).alias("_key"))
