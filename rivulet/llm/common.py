@@ -8,6 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ WHITE = "[\\x20\\x09-\\x0D]+"
 #: The same characters, for trim().
 BLANKS = " \t\n\x0b\f\r"
 
-#: Most rows of a (key, few numbers) table that may be broadcast; about 32 MB at 64 bytes a row.
-BROADCAST_ROWS = 500_000
+#: Most bytes of a table that may be broadcast, as fits() counts them, and most rows.
+BROADCAST_BYTES, BROADCAST_ROWS = 48 << 20, 500_000
+#: Rows of one key from which on they are joined where they lie instead of meeting in one task.
+HOT_ROWS = 1_000_000
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -93,27 +97,64 @@ def ship(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def slices(batches, rows: int = 1000):
-    """Arrow batches in parts of so many rows, so that a Python worker holds the objects of one part only."""
+def slices(batches, rows: int = 1000, size: int = 8 << 20, column: int = 1):
+    """Arrow batches in parts of at most so many rows and, but for a single longer row, bytes of a column, so that a Python worker holds the objects of one part only."""
     for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+        if not b.num_rows:
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = upto[start - 1] if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(upto, before + size, "right"))))
+            yield b.slice(start, stop - start)
+            start = stop
 
 
 def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
-def fits(small: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
-    """Whether a count proves a written table of narrow rows within the bound."""
-    return small.limit(bound + 1).count() <= bound
+def _width(field) -> Column:
+    """Bytes of a column's value beyond its slot."""
+    kind = field.dataType.typeName()
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)).cast("long")
+    if kind == "array":
+        return 16 * F.greatest(F.size(field.name), F.lit(0)).cast("long")
+    return F.lit(0).cast("long")
 
 
-def with_bound(small: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def fits(small: DataFrame, bound: int | None = None) -> bool:
+    """Whether a count proves a written table within the bounds of rows and bytes: 32 bytes a row, 16 a column, and the length of strings and arrays."""
+    bound = BROADCAST_ROWS if bound is None else bound
+    extra = sum((_width(f) for f in small.schema), F.lit(0).cast("long"))
+    n, more = small.limit(bound + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(extra), F.lit(0))).first()
+    return n <= bound and n * (32 + 16 * len(small.columns)) + more <= BROADCAST_BYTES
+
+
+def with_bound(small: DataFrame, bound: int | None = None) -> DataFrame:
     """Mark a written table for broadcast only if it fits; otherwise joins shuffle."""
     return F.broadcast(small) if fits(small, bound) else small
 
 
+def keyed_join(big: DataFrame, small: DataFrame, key: str, often: str, how: str = "inner") -> DataFrame:
+    """big joined with small, a written table of one row a key that counts big's rows of that key in the column often.
+
+    A small table is broadcast.  Otherwise both sides shuffle, but for keys of
+    more than HOT_ROWS rows: there are at most (rows of big) / HOT_ROWS of
+    them, and these are broadcast, so that no task gathers a hot key.
+    """
+    if fits(small):
+        return big.join(F.broadcast(small), key, how)
+    hot = small.where(F.col(often) > HOT_ROWS)
+    if hot.isEmpty():
+        return big.join(small, key, how)
+    names = F.broadcast(hot.select(key))
+    apart = big.join(names, key, "left_semi").join(F.broadcast(hot), key)
+    return apart.unionByName(big.join(names, key, "left_anti").join(small.where(F.col(often) <= HOT_ROWS), key, how))
+
+
 def words(text: Column) -> Column:
     """The words of a text: runs without ASCII white space; an empty array if there are none."""
     return F.array_remove(F.split(text, WHITE), "")

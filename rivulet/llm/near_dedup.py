@@ -5,9 +5,15 @@ A text's word shingles are hashed once; the hash's leading bits choose one of
 256).  An empty bin borrows from the first filled one of a fixed random order of
 bins, the same for every text, which keeps each bin's collision probability at
 the Jaccard similarity.  Bands of bins make buckets; in a bucket every text is
-paired with the bucket's least id only, a star of n - 1 edges instead of
+a candidate of the bucket's least row only, a star of n - 1 edges instead of
 n * (n - 1) / 2.  Edges are confirmed on the full shingle sets.
 
+One confirmed link a text is enough to connect it, so edges are tried in
+rounds: first each text's hub that it shares most buckets with, then, between
+components that are still apart, the best edge of each pair of components.
+After a round the linked texts are contracted to their component, and later
+rounds work on components alone.
+
 A star misses a link if its centre is unlike both texts.  So the texts of
 buckets that are not all connected afterwards meet again by their rarest
 shingles, of which linked sets always share one (prefix filtering): 16 centres a
@@ -17,7 +23,7 @@ is missed, and a crowd of unlike variants of one text makes few pairs, since
 what they have in common is not rare.
 
 Texts with equal sets are one class, linked without a comparison; everything
-after that works on one representative a class, so copies never become pairs.
+after that works on one row a class, so copies never become pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, fits, ship, slices, text_of, with_bound
+from rivulet.llm.common import cut, keyed_join, ship, slices, text_of, with_bound
 
 BINS = 256
 #: Centres of a rare shingle: so many in the first round, times so many in each next one.
@@ -119,7 +125,7 @@ def _sketch(width: int, bands: int, rows: int):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 band.append(bands_of(s, bands, rows).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "_key", "n_shingles", "digest", "bands"])
 
     return run
 
@@ -134,18 +140,24 @@ def _pack(width: int):
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return ship(docs).select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    """doc_id, text and a hash of the text, which tells rows of one doc_id apart."""
+    text = text_of(docs)
+    return ship(docs).select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_key"))
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, band hashes; the sets themselves are not kept."""
-    return _slim(docs).mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>")
+    """doc_id, _key, n_shingles, digest of the whole set, band hashes, _row (a number of its own); the sets themselves are not kept; written."""
+    slim = _slim(docs)
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    out = slim.mapInArrow(_sketch(width, bands, rows), f"doc_id {kind}, _key long, n_shingles long, digest binary, bands array<long>")
+    return cut(out.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """rep, n, packed for the given representatives, shingled again from their texts."""
-    wanted = F.broadcast(reps) if fits(reps) else reps
-    texts = _slim(docs).join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    """rep, n, packed for the given rows (doc_id, _key, rep; written), shingled again from their texts."""
+    wanted = with_bound(reps.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "rep"))
+    slim = _slim(docs)
+    texts = slim.join(wanted, slim["doc_id"].eqNullSafe(F.col("_d")) & (slim["_key"] == F.col("_k"))).select("rep", "text")
     return cut(texts.mapInArrow(_pack(width), "rep long, n long, packed binary").dropDuplicates(["rep"]))
 
 
@@ -180,7 +192,7 @@ def rare_shingles(sets: DataFrame, threshold: int) -> DataFrame:
 
 def _confirm(threshold: int):
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, column=2):
             a, c = b.column(2), b.column(3)
             good = []
             for i in range(b.num_rows):
@@ -203,57 +215,105 @@ def confirm(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return cut(both.select("hub", "rep", F.col("packed").alias("_b"), "_a").mapInArrow(_confirm(threshold), "hub long, rep long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """rep, comp (least rep reachable) for every rep of the edges (hub, rep); written.
+def contract(ends: DataFrame) -> DataFrame | None:
+    """node, up (the component's node that none is below) for the nodes of the edges (lo, hi), lo < hi; written; None without edges.
 
-    Each round a node takes the least label among its own, its neighbours' and
-    its label's label; labels only fall, and the number of rounds follows the
-    logarithm of a component's diameter, which stars keep small.
+    Each node takes its least lower neighbour as parent, which gives a forest;
+    its roots are found by doubling.  What joins different trees is an edge
+    between their roots and goes round again.
     """
-    both = cut(edges.select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(edges.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        near = both.join(labels.select(F.col("rep").alias("b"), "comp"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("comp").alias("_near"))
-        up = labels.select(F.col("rep").alias("comp"), F.col("comp").alias("_up"))
-        fresh = labels.join(near, "rep", "left").join(up, "comp", "left")
-        fresh = cut(fresh.select("rep", F.least("comp", "_near", "_up").alias("comp"), (F.least("comp", "_near", "_up") < F.col("comp")).alias("_moved")))
-        labels = fresh.select("rep", "comp")
-        if fresh.where("_moved").isEmpty():
-            return labels
+    out = None
+    while not ends.isEmpty():
+        tree = cut(ends.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")))
+        one_each = ends.count() == tree.count()
+        while True:
+            higher = tree.select(F.col("node").alias("up"), F.col("up").alias("_top"))
+            tree = cut(tree.join(higher, "up", "left").select("node", F.coalesce("_top", "up").alias("up"), F.col("_top").isNotNull().alias("_moved")))
+            moved, tree = not tree.where("_moved").isEmpty(), tree.select("node", "up")
+            if not moved:
+                break
+        out = tree if out is None else cut(_relabelled(out, tree, "up").unionByName(tree))
+        if one_each:
+            break
+        ends = cut(_edges(_relabelled(_relabelled(ends, out, "lo"), out, "hi"), "lo", "hi"))
+    return out
+
+
+def _relabelled(df: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """df with the component (node, up) in place of a column's values; others stay."""
+    names = df.columns
+    out = df.join(with_bound(roots.select(F.col("node").alias(column), F.col("up").alias("_up"))), column, "left")
+    return out.withColumn(column, F.coalesce("_up", column)).select(*names)
+
+
+def _edges(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (lo, hi) of the rows whose two columns differ."""
+    return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
+
+
+def linked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, up: its component) after further links (hub, rep); written.  Nodes that are missing are components of their own."""
+    ends = _edges(_relabelled(_relabelled(links.select("hub", "rep"), labels, "hub"), labels, "rep"), "hub", "rep")
+    roots = contract(cut(ends))
+    if roots is None:
+        return labels
+    # A root's own row is missing from roots, and from labels as well, so no node is named twice.
+    return cut(_relabelled(labels, roots, "up").unionByName(roots))
+
+
+def _components(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """found with comp, the component of its rep."""
+    return _relabelled(found.withColumn("comp", F.col("rep")), labels, "comp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id: one row per input row.
+    """doc_id, n_shingles, component_id, kept, class_id, _key: one row per input row.
 
     Two texts are linked at 100 * |A & B| >= threshold * |A | B| over their
     distinct word shingles; component_id is the smallest doc_id reachable.
     Words are runs without ASCII white space, A-Z lower-cased.  A text without
-    words (null, empty) has no shingles and stays alone; rows that repeat a
-    doc_id and text share a row's result; an empty table gives an empty result.
-    class_id is the least doc_id with exactly the same shingle set.
+    words (null, empty) has no shingles, stays alone and is kept; an empty
+    table gives an empty result.  doc_id may be of any type that can be
+    ordered.  Rows are told apart by themselves, not by doc_id: a row with a
+    null id is linked like any other, and gives component_id only where no row
+    of its component has an id; of several rows with one doc_id each is linked
+    by its own text.  kept marks the component's row with the smallest doc_id,
+    exactly one of them if it is repeated.  class_id is the least doc_id with
+    exactly the same shingle set, _key a hash of the text (XXH64, null as
+    empty), which tells rows of one doc_id apart.
     """
     bands, rows = BANDS["high" if threshold >= 85 else "default"]
-    sketch = cut(sketches(docs, width, bands, rows))
-    firsts = cut(sketch.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    member = sketch.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(firsts, "digest")
-    reps = sketch.join(firsts.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    bucket = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    hubs = bucket.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("_top")).where("hub.rep < _top").select("band", "hub")
+    sketch = sketches(docs, width, bands, rows)
+    filled = sketch.where("n_shingles > 0")
+    low = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"), F.col("_row").alias("row"))
+    classes = cut(filled.groupBy("digest").agg(F.min("_row").alias("rep"), F.min(low).alias("low"), F.count(F.lit(1)).alias("_often")))
+    reps = cut(filled.join(with_bound(classes.select(F.col("rep").alias("_row"))), "_row", "left_semi").select("doc_id", "_key", F.col("_row").alias("rep"), F.col("n_shingles").alias("n"), "bands"))
+    bucket = reps.select("rep", "n", F.explode("bands").alias("band"))
+    hubs = cut(bucket.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("_often")).where("_often > 1"))
     # Only rows of shared buckets go on.
-    shared = cut(bucket.join(cut(hubs), "band"))
-    alike = 100 * F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n")
-    edges = cut(shared.where("hub.rep < rep").where(alike).select(F.col("hub.rep").alias("hub"), "rep").distinct())
-    involved = cut(shared.select("rep").distinct())
-    sets = full_sets(docs, involved, width)
-    links, tried = confirm(edges, sets, threshold), edges
-    comps = components(links)
+    shared = keyed_join(bucket, hubs, "band", "_often").select("band", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("_n"))
+    shared = cut(shared.withColumn("alike", (F.col("hub") < F.col("rep")) & (100 * F.least("n", "_n") >= threshold * F.greatest("n", "_n"))).select("band", "rep", "hub", "alike"))
+    involved = shared.select("rep").distinct()
+    sets = full_sets(docs, cut(reps.select("doc_id", "_key", "rep").join(involved, "rep", "left_semi")), width)
+    # First each text with the hub of most of its buckets.
+    votes = shared.where("alike").groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("_v"))
+    tried = cut(votes.groupBy("rep").agg(F.max(F.struct("_v", (-F.col("hub")).alias("_h"))).alias("_b")).select((-F.col("_b._h")).alias("hub"), "rep"))
+    none = docs.sparkSession.createDataFrame([], "node long, up long")
+    labels = linked(none, confirm(tried, sets, threshold))
+    # Then the best edge between each pair of components that a bucket holds both of.
+    open_ = _components(shared, labels).withColumn("_c", F.col("hub"))
+    open_ = _relabelled(open_, labels, "_c").where("alike and comp <> _c")
+    votes = open_.groupBy("comp", "_c", "hub", "rep").agg(F.count(F.lit(1)).alias("_v"))
+    again = votes.groupBy(F.least("comp", "_c").alias("lo"), F.greatest("comp", "_c").alias("hi")).agg(F.max(F.struct("_v", "hub", "rep")).alias("_b")).select("_b.hub", "_b.rep")
+    again = cut(again.join(tried, ["hub", "rep"], "left_anti"))
+    labels, tried = linked(labels, confirm(again, sets, threshold)), tried.unionByName(again)
     # Texts of buckets that are not connected yet meet again by their rare shingles.
-    low = shared.select("band", "rep").join(comps, "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    split = cut(low.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("band"))
+    apart = _components(shared.select("band", "rep"), labels)
+    split = cut(apart.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("band"))
     rest = cut(shared.select("band", "rep").join(with_bound(split), "band", "left_semi").select("rep").distinct())
     rare, wanted = rare_shingles(sets.join(with_bound(rest), "rep", "left_semi"), threshold), GROWTH
     while True:
-        known = rare.join(comps, "rep", "left").select("key", "rep", "n", "pos", F.coalesce("comp", "rep").alias("comp"))
+        known = _components(rare, labels)
         split = known.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_m")).where("_low < _high")
         split = cut(split.select("key", "_m"))
         most = split.agg(F.max("_m")).first()[0]
@@ -267,15 +327,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
         pairs = open_.join(centre, "key").where("comp <> _comp").where(enough)
         pairs = pairs.select(F.least("rep", "_c").alias("hub"), F.greatest("rep", "_c").alias("rep")).distinct()
         pairs = cut(pairs.join(tried, ["hub", "rep"], "left_anti"))
-        more = confirm(pairs, sets, threshold)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = components(links)
+        labels = linked(labels, confirm(pairs, sets, threshold))
         if wanted >= most:
             break
         tried, wanted = tried.unionByName(pairs), wanted * GROWTH
-    classes = comps if not fits(comps) else F.broadcast(comps)
-    linked = member.join(classes, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), F.col("rep").alias("class_id"))
-    alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    out = linked.unionByName(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+    # The smallest row of each component, first over classes, then over components.
+    placed = cut(_components(classes.select("digest", "rep", "low", "_often"), labels))
+    merged = cut(placed.where(F.col("rep") != F.col("comp")).select("comp").distinct())
+    heads = cut(placed.join(with_bound(merged), "comp", "left_semi").groupBy("comp").agg(F.min("low").alias("_head")))
+    placed = cut(placed.join(with_bound(heads), "comp", "left").select("digest", F.coalesce("_head", "low").alias("_head"), F.col("low.id").alias("class_id"), "_often"))
+    member = keyed_join(filled.select("doc_id", "_key", "n_shingles", "digest", "_row"), placed, "digest", "_often")
+    member = member.select("doc_id", "n_shingles", F.col("_head.id").alias("component_id"), (F.col("_row") == F.col("_head.row")).alias("kept"), "class_id", "_key")
+    alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.col("doc_id").alias("class_id"), "_key")
+    return member.unionByName(alone)

@@ -95,7 +95,7 @@ def _encode(model: str, outputs: str):
     def run(batches):
         t = table(model)
         bos, eos = (array("I", [x]).tobytes() for x in (t.sp.bos_id(), t.sp.eos_id()))
-        digests = outputs == "digests"
+        digests, short = outputs == "digests", outputs != "ids"
         for b in slices(batches):
             done = 0
             # A group's ids go out as one buffer before the next group is encoded.
@@ -105,10 +105,11 @@ def _encode(model: str, outputs: str):
                 n = pa.array([len(w) // 4 for w in whole], pa.int64())
                 if digests:
                     ids = pa.array([hashlib.sha256(w).hexdigest() for w in whole], pa.string())
-                    decoded = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
                 else:
                     ends = np.cumsum([0, *(len(w) // 4 for w in whole)])
                     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(whole), np.int32)))
+                if short:
+                    decoded = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(group)), n, ids, pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
                 done += len(group)
 
@@ -119,7 +120,8 @@ def encode(docs: DataFrame, model: str, outputs: str = "ids") -> DataFrame:
     """doc_id, n_tokens (long, with begin and end), ids, decoded: one row per input row, no shuffle.
 
     outputs "ids" gives array<int> and the decoded text, "digests" their
-    SHA-256 (ids as little-endian uint32; the text in UTF-8).  Null and empty
+    SHA-256 (ids as little-endian uint32; the text in UTF-8), "ids and digest"
+    array<int> and the decoded text's SHA-256.  Null and empty
     texts have the two special ids only.  model: a file on every executor.
     """
     slim = ship(docs).select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text"))
@@ -131,7 +133,7 @@ def encode(docs: DataFrame, model: str, outputs: str = "ids") -> DataFrame:
 def _decode(model: str):
     def run(batches):
         t = table(model)
-        for b in batches:
+        for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.sp.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return run

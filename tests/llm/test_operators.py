@@ -113,6 +113,7 @@ def test_near_duplicates(docs, rows):
 
     for width, threshold in ((3, 85), (5, 80)):
         sets = {i: shingles(t, width) for i, t, *_ in rows if i is not None}
+        assert not any(sets[i] & shingles("null id", width) for i in sets)
         label = {i: i for i in sets}
         moved = True
         while moved:
@@ -121,8 +122,45 @@ def test_near_duplicates(docs, rows):
                 for b in sets:
                     if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) and label[b] > label[a]:
                         label[b], moved = label[a], True
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, width, threshold).where("doc_id is not null").collect()}
-        assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
+        found = near_dedup.near_duplicates(docs, width, threshold).collect()
+        assert len(found) == len(rows)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found if r["doc_id"] is not None}
+        assert got == {i: (len(sets[i]), label[i]) for i in sets}
+        # A repeated row is kept once.
+        assert sorted(r["doc_id"] for r in found if r["kept"] and r["doc_id"] is not None) == sorted(i for i in sets if label[i] == i)
+        assert [r["kept"] for r in found if r["doc_id"] is None] == [True]
+
+
+def test_near_duplicates_of_any_ids(spark):
+    """Ids that are strings, null, or stand for several texts: rows are linked by their own texts."""
+    words = [f"word{i}" for i in range(60)]
+    base, other = " ".join(words), " ".join(reversed(words))
+    data = [("b", base), ("a", base + " more"), (None, base), (None, other), ("c", other), ("c", "its own text"), ("c", "its own text"), (None, "nobody else"), ("d", None), ("d", "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id string, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["n_shingles"]), []).append((r["component_id"], r["kept"]))
+    assert by == {
+        ("b", 56): [("a", False)], ("a", 57): [("a", True)], (None, 56): [("a", False), ("c", False)] if by[None, 56][0][0] == "a" else [("c", False), ("a", False)],
+        ("c", 56): [("c", True)], ("c", 1): by["c", 1], (None, 1): [(None, True)], ("d", 0): [("d", True), ("d", True)],
+    }
+    assert sorted(by["c", 1]) == [("c", False), ("c", True)]
+
+
+def test_joins_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    """Every bound lowered: the shuffled joins and those of hot keys give the same rows."""
+    from rivulet.llm import common
+
+    texts = docs.selectExpr("doc_id", "text", "lang", "source").cache()
+    run = {
+        "near": lambda: near_dedup.near_duplicates(texts, 3, 85).select("doc_id", "n_shingles", "component_id"), "exact": lambda: exact_dedup.exact_dedup(texts),
+        "lines": lambda: line_dedup.line_dedup(texts), "quality": lambda: quality.quality(texts, least=1, share=0.01), "mixing": lambda: mixing.mix_plan(texts), "licenses": lambda: license_scan.license_scan(texts),
+    }
+    want = {k: sorted(map(str, f().collect())) for k, f in run.items()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    for k, f in run.items():
+        assert sorted(map(str, f().collect())) == want[k], k
 
 
 def test_mixing(spark, docs):
