@@ -11,44 +11,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import exact_dedup, mixing, near_dedup, pieces, quality
-from rivulet.llm.common import cut, fits
+from rivulet.llm.common import cut, text_of, with_bound
 from rivulet.llm.queries import vocabulary
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among dropped (a written table of ids); rows with a null id stay."""
-    gone = dropped.select(F.col("doc_id").alias("_gone_id")).distinct()
-    gone = F.broadcast(gone) if fits(dropped) else gone
-    return docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left_anti")
+def _matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with a written table of (doc_id, hash of the text); a null id equals a null id."""
+    names = ["_gone_id", "_gone_key"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    right = with_bound(rows.toDF(*names))
+    return docs.join(right, docs["doc_id"].eqNullSafe(right[names[0]]) & (F.xxhash64(text_of(docs)) == right[names[1]]), how)
+
+
+def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that found (doc_id, _key, kept: a row for each row of docs) keeps; of repeated rows as many as it keeps, one or none."""
+    found = cut(found.select("doc_id", "_key", "kept"))
+    gone = cut(found.where("not kept").select("doc_id", "_key").distinct())
+    once = cut(_twice(found.where("kept").select("doc_id", "_key"), gone))
+    if once.isEmpty():
+        return _matched(docs, gone, "left_anti")
+    rest = _matched(docs, gone, "left_anti")
+    return rest.unionByName(_matched(docs, once, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _twice(kept: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents of which one row is kept and another is not: repeated rows."""
+    other = with_bound(gone.toDF("_d", "_k"))
+    return kept.join(other, kept["doc_id"].eqNullSafe(F.col("_d")) & (kept["_key"] == F.col("_k")), "left_semi").distinct()
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the quality rules keep, without boilerplate lines.
+
+    A null or empty text fails; a null source is a host of its own; repeated
+    rows get the same verdict; all columns stay, also ones whose names the
+    rules use; an empty table stays empty.
+    """
     return quality.cleaned(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = cut(exact_dedup.exact_dedup(docs).where("not kept").select("doc_id", "keep_id"))
-    # Of repeated rows of one document one stays; elsewhere ids decide.
-    repeated = found.where("doc_id <=> keep_id").select("doc_id").distinct()
-    out = _without(docs, found.where("not doc_id <=> keep_id").select("doc_id"))
-    if repeated.isEmpty():
-        return out
-    again = out.join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
-    once = out.join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    """One row of each text, the one with the largest doc_id.
+
+    Null counts as an empty text and a null id as the smallest; of repeated
+    rows one stays, as of rows that differ in other columns only; two texts
+    under one id are told apart; an empty table stays empty.
+    """
+    return _kept(docs, exact_dedup.exact_dedup(docs, {"_key": F.xxhash64(text_of(docs))}))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs, width=5, threshold=80)
-    return _without(docs, cut(found.where(~F.col("kept")).select("doc_id")))
+    """One row of each group of near copies (five words, 0.8), the one with the smallest doc_id.
+
+    A text without words (null, empty) is in no group and stays; a row with a
+    null id goes if a row with one is in its group; of repeated rows one stays.
+    """
+    return _kept(docs, near_dedup.near_duplicates(docs, width=5, threshold=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, 0 to 2 times.
+
+    A null source is a source of its own; rows without words are taken by
+    their source's rate as well; rows that repeat a doc_id share its draw.
+    """
     return mixing.mix(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids")
+    """doc_id, n_tokens, ids, decoded_sha256 (of the decoded text) per row; a null or empty text has the two special ids only."""
+    found = pieces.encode(docs, vocabulary("piece_bpe_32k.model"), "ids and digest")
+    return found.select("doc_id", "n_tokens", "ids", F.col("decoded").alias("decoded_sha256"))
 
 
 STAGES = [
@@ -69,5 +103,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Encoding has no SQL form; the stages are tested against brute force instead.
+#: Encoding and near-dedup by sketches have no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
