@@ -109,7 +109,8 @@ def cleaned(docs: DataFrame, least: int = LEAST_DOCS, share: float = SHARE, left
     (null-safe) and text together.
     """
     stats = document_stats(docs, {"_row": F.struct(*[docs[c] for c in docs.columns])})
-    out = _judged(stats, with_bound(_removed(docs, least, share), 50_000), left).where("kept")
+    # No condition is pushed below a column that is not deterministic; there, kept would hold the statistics' whole expressions many times over.
+    out = _judged(stats.withColumn("_pin", F.rand(0)), with_bound(_removed(docs, least, share)), left).where(F.col("kept") & (F.col("_pin") >= 0))
     lost = F.col("_lines").isNotNull()
     rest = F.expr("array_join(filter(split(cast(_row.text AS string), '\\n', -1), (x, i) -> not array_contains(_lines, i)), '\\n')")
     new = {"text": F.when(lost, rest).otherwise(F.col("_row.text"))}
