@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import ship, text_of
+from rivulet.llm.common import ship, slices, text_of
 
-#: The sample: documents a language, and code points taken of each, into a dictionary of so many bytes.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 1000, 96 * 1024
+#: The sample: documents a language, code points taken of each, and languages, those with most documents (ties by name).
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 200, 1000, 64
 BLOCK = 4096
 LEVEL = 3
 LEAST_MARGIN = 0.02
@@ -28,19 +28,21 @@ def held_out(docs: DataFrame):
     return F.coalesce(F.pmod(F.crc32(docs["doc_id"].cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> dict[str, bytes]:
     """lang -> raw dictionary; from labelled documents that are not held out, chosen by a hash of the id.
 
-    At most sample_docs * SAMPLE_CHARS code points a language reach the driver.
+    At most languages * sample_docs * SAMPLE_CHARS code points reach the driver
+    and the workers.
     """
     known = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs))
     known = known.select(docs["lang"].alias("lang"), docs["text"].alias("text"), F.xxhash64(docs["doc_id"]).alias("h")).where("length(text) > 0")
+    chosen = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    found = known.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("r", rank).where(F.col("r") <= sample_docs)
+    found = known.where(F.col("lang").isin(chosen)).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("r", rank).where(F.col("r") <= sample_docs)
     out: dict[str, list[str]] = {}
     for row in sorted(found.select("lang", "r", "text").collect()):
         out.setdefault(row["lang"], []).append(row["text"])
-    return {k: "\n".join(v).encode()[-DICTIONARY_BYTES:] for k, v in out.items()}
+    return {k: "\n".join(v).encode() for k, v in out.items()}
 
 
 class Compressors:
@@ -67,7 +69,7 @@ class Compressors:
 def _classify(dictionaries: dict[str, bytes], least: float):
     def run(batches):
         c = Compressors(dictionaries)
-        for b in batches:
+        for b in slices(batches, column=2):
             found = [c.classify(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[1] < least for f in found], pa.bool_())],
@@ -77,14 +79,15 @@ def _classify(dictionaries: dict[str, bytes], least: float):
     return run
 
 
-def language_id(docs: DataFrame, least_margin: float = LEAST_MARGIN) -> DataFrame:
+def language_id(docs: DataFrame, least_margin: float = LEAST_MARGIN, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1), rejected (narrow margin): one row per input row.
 
     Null texts and texts without a letter are ``und`` with score 0 and
     rejected; equal sizes go to the first language by name; repeated rows
-    repeat their result; without labelled rows everything is ``und``.
+    repeat their result; without labelled rows everything is ``und``.  A row
+    with a null id is not learned from and not held out.
     """
-    dictionaries = train(docs)
+    dictionaries = train(docs, sample_docs, languages)
     slim = ship(docs).select(docs["doc_id"].alias("doc_id"), held_out(docs).alias("held_out"), text_of(docs).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(_classify(dictionaries, least_margin), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
