@@ -1,11 +1,12 @@
 """Token counts by prefix dynamic programming.
 
-For every prefix of a word the last token of its encoding is stored: a token t
+For every prefix of a word the last token of its encoding is found: a token t
 ending at i follows the prefix before it exactly if the merges leave the pair
 (last token before, t) as it is.  Exactly one token qualifies, so each prefix
-gets its exact count from a shorter one.  Words are independent, so a text's
-counts are running sums over its words, and truncation or budget questions at
-any code point are answered from the tables, without encoding again.
+gets its exact count from a shorter one.  The counts of all prefixes of a word
+are stored.  Words are independent, so a text's counts are running sums over its
+words, and the count of a whole text, of any prefix of it, and the longest
+prefix within a budget are read from the same tables, without encoding again.
 """
 
 from __future__ import annotations
@@ -20,12 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rivulet.llm.common import Recent, ship, text_of
+from rivulet.llm.common import Recent, ship, slices, text_of
 
 END = "</w>"
-TABLE_SIZE = 50_000
 PAIRS_SIZE = 400_000
-LONGEST_KEPT = 64
 # The tokenizer's white space and word pattern.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -39,11 +38,11 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else 256 + sum(x not in plain for x in range(b))) for b in range(256)]
 
 
-class PrefixTables(dict):
-    """word -> token counts of its prefixes, one entry a code point; totals: word -> its own count."""
+class PrefixTables(Recent):
+    """word -> token counts of its prefixes, one entry a code point."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(self.count_prefixes)
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -67,7 +66,6 @@ class PrefixTables(dict):
         for (a, b), i in self.ranks.items():
             self.made.setdefault(a + b, (i, a, b))
         self.own: dict[str, bool] = {}
-        self.totals = Recent(lambda word: self.run("".join([self.letters[b] for b in word.encode()]), False)[-1])
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -123,16 +121,8 @@ class PrefixTables(dict):
             self.pairs[key] = known
         return known
 
-    def __missing__(self, word: str):
-        counts = self.count_prefixes(word)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= TABLE_SIZE:
-                self.clear()
-            self[word] = counts
-        return counts
-
-    def run(self, u: str, every: bool) -> list[int]:
-        """Counts of u's prefixes as if a word ended there; unless every, the last one only.
+    def run(self, u: str) -> list[int]:
+        """Counts of u's prefixes as if a word ended there.
 
         last and count describe the prefixes as beginnings of longer words.
         """
@@ -149,7 +139,7 @@ class PrefixTables(dict):
                     ok = pairs((before, t))
                     if follows(before, t) if ok is None else ok:
                         last[i], count[i] = t, then
-                if kind & 2 and (every or i == n) and not ended[i]:
+                if kind & 2 and not ended[i]:
                     t += END
                     ok = pairs((before, t))
                     if follows(before, t) if ok is None else ok:
@@ -158,7 +148,7 @@ class PrefixTables(dict):
 
     def count_prefixes(self, word: str):
         data = word.encode()
-        ended = self.run("".join([self.letters[b] for b in data]), True)
+        ended = self.run("".join([self.letters[b] for b in data]))
         if len(data) == len(word):
             out = ended[1:]
         else:
@@ -178,33 +168,46 @@ class PrefixTables(dict):
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def count(self, text: str) -> int:
-        if "<|" in text:
-            parts = self.specials.split(text)
-            return len(parts) - 1 + sum(map(self.count_plain, parts))
-        return self.count_plain(text)
-
-    def count_plain(self, text: str) -> int:
-        return sum(map(self.totals.__getitem__, self.words(text)))
-
-    def prefix_counts(self, text: str) -> list[int]:
-        """Exact token count of every prefix, by code points of the text's lower-cased NFC form; no special tokens."""
-        text = self.library.normalizer.normalize_str(text)
+        parts = self.specials.split(text) if "<|" in text else [text]
+        get = self.__getitem__
+        return len(parts) - 1 + sum([get(w)[-1] for part in parts for w in self.words(part)])
+
+    def parts(self, text: str):
+        """The text between special tokens in lower-cased NFC form, each with the special token that follows it (none after the last)."""
+        at = 0
+        for m in self.specials.finditer(text):
+            yield self.library.normalizer.normalize_str(text[at : m.start()]), m[0]
+            at = m.end()
+        yield self.library.normalizer.normalize_str(text[at:]), ""
+
+    def plain_counts(self, text: str) -> list[int]:
+        """Token count of every prefix of a normalised text without special tokens."""
         out, total, at = [], 0, 0
         for m in WORD.finditer(text):
-            out += [total] * (m.start() - at) + [total + c for c in self[m[0]]]
-            total, at = total + self[m[0]][-1], m.end()
+            counts = self[m[0]]
+            out += [total] * (m.start() - at)
+            out += [total + c for c in counts]
+            total, at = total + counts[-1], m.end()
         return out + [total] * (len(text) - at)
 
+    def prefix_counts(self, text: str) -> list[int]:
+        """Exact token count of every prefix, by code points of the text's parts() put together.
+
+        A special token that is cut short is ordinary text, which may continue the word before it.
+        """
+        out, base = [], 0
+        for part, special in self.parts(text):
+            counts = self.plain_counts(part + special[:-1])
+            out += [base + c for c in counts]
+            if special:
+                base += 1 + (counts[len(part) - 1] if part else 0)
+                out.append(base)
+        return out
+
     def fit(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix (of the lower-cased NFC form) with at most budget tokens."""
-        text = self.library.normalizer.normalize_str(text)
-        total = 0
-        for m in WORD.finditer(text):
-            counts = self[m[0]]
-            if total + counts[-1] > budget:
-                return m.start() + max((i + 1 for i, c in enumerate(counts) if total + c <= budget), default=0)
-            total += counts[-1]
-        return len(text)
+        """Code points of the longest prefix of the text's parts() with at most budget tokens."""
+        counts = self.prefix_counts(text)
+        return max((i + 1 for i, c in enumerate(counts) if c <= budget), default=0)
 
 
 @functools.lru_cache(maxsize=4)
@@ -215,30 +218,32 @@ def tables(path: str) -> PrefixTables:
 def _count(path: str, limit: int):
     def run(batches):
         t = tables(path)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             n = [t.count(x) for x in texts]
             size = [len(x.encode()) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            cut = [t.fit(x, limit) if k > limit else None for x, k in zip(texts, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cut, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_at"])
 
     return run
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens (long), over_limit: one row per input row, no shuffle.
+    """doc_id, n_bytes, n_tokens (long), over_limit, cut_at: one row per input row, no shuffle.
 
-    Null and empty texts have 0 tokens; repeated rows repeat their result.
+    cut_at, of a text over the limit only: code points of its longest prefix
+    within the limit, in lower-cased NFC form but for special tokens.  Null and empty texts have 0 tokens; repeated rows repeat their result.
     vocabulary: a tokenizer file on every executor.
     """
     slim = ship(docs).select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(_count(vocabulary, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return slim.mapInArrow(_count(vocabulary, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, cut_at long")
 
 
 def _prefixes(path: str, budgets: tuple[int, ...]):
     def run(batches):
         t = tables(path)
-        for b in batches:
+        for b in slices(batches, 200, 1 << 20):
             texts = b.column(1).to_pylist()
             cols = [pa.array([t.prefix_counts(x) for x in texts], pa.list_(pa.int32())), pa.array([[t.fit(x, k) for k in budgets] for x in texts], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "counts", "fits"])
@@ -247,7 +252,10 @@ def _prefixes(path: str, budgets: tuple[int, ...]):
 
 
 def prefix_tables(docs: DataFrame, vocabulary: str, budgets=(2048,)) -> DataFrame:
-    """doc_id, counts (tokens of every prefix, by code point of the normalised text), fits (longest prefix within each budget)."""
+    """doc_id, counts (tokens of every prefix, by code point of the normalised text), fits (longest prefix within each budget).
+
+    Null and empty texts have no prefixes; repeated rows repeat their result.
+    """
     slim = ship(docs).select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(_prefixes(vocabulary, tuple(budgets)), f"doc_id {kind}, counts array<int>, fits array<int>")
