@@ -5,7 +5,9 @@ number of words anywhere in the text (the whole text if that is shorter); full
 licence texts are compared with windows only.  With n and m distinct
 bigrams the coefficient is at most 2 * min(n, m) / (n + m), so a template is
 compared only with segments of between t / (2 - t) and (2 - t) / t times its
-size; most segments are dropped by that bound before a bigram is made.  Windows
+size; most segments are dropped by that bound before a bigram is made.  A match
+also holds one of any m + 1 words of a template of which it may lack m, so texts
+without such anchor words are left out by one pass over their words, and windows
 are made only in texts that hold enough of a template's words.
 """
 
@@ -41,6 +43,8 @@ TEMPLATES = (
 #: Full licence texts, named by their files.
 TEXTS = tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
 LEAST_DICE = 0.85
+#: Words that many texts hold; they are anchors only where a template has too few others.
+COMMON = frozenset("a all and any are as at be but by can for from have if in is it its may must no not of on or other see shall such that the their these this to under use used version was were which will with within without work you your".split())
 
 
 def template_words(text: str) -> list[str]:
@@ -56,8 +60,41 @@ def _listed(items) -> Column:
     return F.split(F.lit("|".join(items)), "\\|")
 
 
-def window_matches(docs: DataFrame, templates, least: float = LEAST_DICE) -> DataFrame:
-    """doc_id, _key, license, dice: the best window of each template found, of all windows with its number of words."""
+def _need(grams: list[str], least: float) -> int:
+    """Bigrams that a match shares with a template: s >= least * (n + m) / 2 with m >= s."""
+    return math.ceil(len(grams) * least / (2 - least) - 1e-9)
+
+
+def _able(words: list[str], least: float) -> int:
+    """Distinct words of a template that a match has: m bigrams fewer are at most m words fewer, one at least stays."""
+    grams = bigrams(words)
+    return max(1, len(set(words)) - (len(grams) - _need(grams, least)))
+
+
+def anchors(templates, least: float) -> list[str]:
+    """Words of which each match with a template holds one: of each template one more than it may lack, rare ones if possible."""
+    out = set()
+    for _, text in templates:
+        w = template_words(text)
+        if bigrams(w):
+            own = sorted(set(w), key=lambda x: (x in COMMON, -len(x), x))
+            out |= set(own[: len(own) - _able(w, least) + 1])
+    return sorted(out)
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+
+
+def likely(docs: DataFrame, templates, least: float) -> DataFrame:
+    """doc_id, _key, _text of the rows with an anchor word, the only ones that can match; written."""
+    text = text_of(docs)
+    held = F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), _listed(anchors(templates, least)))
+    return cut(docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("_key"), text.alias("_text")).where(held))
+
+
+def window_matches(rows: DataFrame, templates, least: float = LEAST_DICE) -> DataFrame:
+    """doc_id, _key, license, dice: the best window of each template found, of all windows with its number of words.  rows: doc_id, _key, _text."""
     table, every = [], set()
     for name, text in templates:
         w = template_words(text)
@@ -65,60 +102,60 @@ def window_matches(docs: DataFrame, templates, least: float = LEAST_DICE) -> Dat
         if not grams:
             continue
         every |= set(w)
-        # n >= shared distinct bigrams, so a match shares need of them; each one missing leaves out one word at most, and one more at an end.
-        need = math.ceil(len(grams) * least / (2 - least) - 1e-9)
-        able = len(set(w)) - (len(grams) - need) - 1
-        table.append(F.struct(F.lit(name).alias("license"), _listed(sorted(set(w))).alias("words"), _listed(grams).alias("grams"), F.lit(len(w) - 1).alias("k"), F.lit(need).alias("need"), F.lit(able).alias("able")))
-    text = text_of(docs)
-    df = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("_key"), F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ").alias("_w"))
-    df = df.withColumn("_f", F.array_intersect("_w", _listed(sorted(every))))
-    likely = F.filter(F.array(*table), lambda t: (F.size("_f") >= t["able"]) & (F.size("_w") > 1) & (F.size(F.array_intersect("_f", t["words"])) >= t["able"]))
-    df = df.select("doc_id", "_key", "_w", F.explode(likely).alias("_t"))
-    df = df.withColumn("_g", F.transform(F.slice("_w", F.lit(1), F.size("_w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("_w", i + 1))))
-    df = df.withColumn("_hit", F.array_intersect("_g", "_t.grams")).where(F.size("_hit") >= F.col("_t.need"))
-    df = df.withColumn("_n", F.size("_g")).withColumn("_k", F.least("_n", "_t.k"))
+        table.append(F.struct(F.lit(name).alias("license"), _listed(sorted(set(w))).alias("words"), _listed(grams).alias("grams"), F.lit(len(w) - 1).alias("k"), F.lit(_need(grams, least)).alias("need"), F.lit(_able(w, least)).alias("able")))
+    df = rows.select("doc_id", "_key", _words(F.col("_text")).alias("_w")).withColumn("_f", F.array_intersect("_w", _listed(sorted(every))))
+    # What a lambda uses is handed to it as its argument, else it would be made again for each element.
+    fitting = F.transform(F.array("_f"), lambda f: F.filter(F.array(*table), lambda t: (F.size(f) >= t["able"]) & (F.size(F.array_intersect(f, t["words"])) >= t["able"])))[0]
+    # The outer form does not evaluate the array twice, as a filter derived from an explode would.
+    df = df.where(F.size("_w") > 1).select("doc_id", "_key", "_w", F.explode_outer(fitting).alias("_t")).where(F.col("_t").isNotNull())
+    df = df.select("doc_id", "_key", "_t", F.transform(F.array("_w"), lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))[0].alias("_g"))
+    df = cut(df.withColumn("_hit", F.array_intersect("_g", "_t.grams")).withColumn("_pin", F.rand(0)).where((F.size("_hit") >= F.col("_t.need")) & (F.col("_pin") >= 0)).select("doc_id", "_key", F.col("_t.license").alias("license"), F.size("_t.grams").alias("_m"), F.col("_t.k").alias("_k"), "_g", "_hit"))
+    df = df.withColumn("_b", F.array(F.struct(F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))).alias("s"), F.col("_hit").alias("hit"), F.size("_g").alias("n"), F.least(F.size("_g"), "_k").alias("k"), F.col("_m").alias("m"))))
     # A bigram at i counts in the windows that begin after its last occurrence before i, at i - k + 1 at the earliest, and no later than i.
-    df = df.withColumn("_s", F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
-    begin = "greatest(0, x.i - _k + 1, if(j > 0 and s[j - 1].g = x.g, s[j - 1].i + 1, 0))"
-    df = df.withColumn("_m", F.expr(f"transform(array(_s), s -> transform(s, (x, j) -> struct(x.i as i, {begin} as a, if(array_contains(_hit, x.g), 1, 0) as h)))[0]"))
-    df = df.withColumn("_e", F.expr("sort_array(concat(transform(_m, m -> struct(m.a as at, 1 as d, m.h as s)), transform(_m, m -> struct(m.i + 1 as at, -1 as d, -m.h as s))))"))
+    begin = "greatest(0, x.i - b.k + 1, if(j > 0 and b.s[j - 1].g = x.g, b.s[j - 1].i + 1, 0))"
+    marks = f"transform(b.s, (x, j) -> struct(x.i as i, {begin} as a, if(array_contains(b.hit, x.g), 1, 0) as h))"
+    events = f"flatten(transform({marks}, m -> array(struct(m.a as at, 1 as d, m.h as s), struct(m.i + 1 as at, -1 as d, -m.h as s))))"
     # Running sums: a.d distinct bigrams, a.s of them shared, in each window that begins at a.at or later, before e.at.
-    here = "if(e.at > a.at and a.at <= _n - _k, greatest(a.best, 2.0D * a.s / (a.d + size(_t.grams))), a.best)"
-    dice = F.expr(f"aggregate(_e, named_struct('at', 0, 'd', 0, 's', 0, 'best', 0.0D), (a, e) -> named_struct('at', e.at, 'd', a.d + e.d, 's', a.s + e.s, 'best', {here}), a -> a.best)")
-    return df.select("doc_id", "_key", F.col("_t.license").alias("license"), dice.alias("dice")).where(F.col("dice") >= least)
+    here = "if(e.at > a.at and a.at <= b.n - b.k, greatest(a.best, 2.0D * a.s / (a.d + b.m)), a.best)"
+    best = f"aggregate(sort_array({events}), named_struct('at', 0, 'd', 0, 's', 0, 'best', 0.0D), (a, e) -> named_struct('at', e.at, 'd', a.d + e.d, 's', a.s + e.s, 'best', {here}), a -> a.best)"
+    return df.select("doc_id", "_key", "license", F.expr(f"transform(_b, b -> {best})[0]").alias("dice")).where(F.col("dice") >= least)
 
 
-def license_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE, texts=TEXTS) -> DataFrame:
-    """doc_id, _key, license, dice: a row for each document and licence that it matches."""
-    known = [(name, bigrams(template_words(text))) for name, text in templates]
-    known = [(name, grams) for name, grams in known if grams]
-    least_n = min(len(g) for _, g in known) * least / (2 - least)
-    most_n = max(len(g) for _, g in known) * (2 - least) / least
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, text in templates for w in template_words(text)})])
+def segment_matches(rows: DataFrame, templates, least: float = LEAST_DICE) -> DataFrame:
+    """doc_id, _key, license, dice of the lines and paragraphs that match.  rows: doc_id, _key, _text."""
+    known = [(name, bigrams(template_words(text)), _able(template_words(text), least)) for name, text in templates]
+    known = [(name, grams, able) for name, grams, able in known if grams]
+    least_n = min(len(g) for _, g, _ in known) * least / (2 - least)
+    most_n = max(len(g) for _, g, _ in known) * (2 - least) / least
+    vocabulary = _listed(sorted({w for _, text in templates for w in template_words(text)}))
+    least_able = min(able for *_, able in known)
 
     def grams(segment):
         """A segment's distinct bigrams, or null where the size bounds already exclude every template."""
-        words = F.split(F.trim(F.regexp_replace(F.lower(segment), "[^a-z0-9]+", " ")), " ")
 
         def made(w):
             pairs = F.array_distinct(F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
-            # n distinct bigrams have at most n + 1 distinct words, and a match shares at least two with its template.
-            able = (F.size(w) > least_n) & (F.size(F.array_distinct(w)) <= most_n + 1) & (F.size(F.array_intersect(w, vocabulary)) > 1)
+            # n distinct bigrams have at most n + 1 distinct words.
+            able = (F.size(w) > least_n) & (F.size(F.array_distinct(w)) <= most_n + 1) & (F.size(F.array_intersect(w, vocabulary)) >= least_able)
             return F.when(able, pairs)
 
-        # A one-element array binds the words, so that they are made once.
-        return F.when(F.length(segment) > 3 * least_n, F.transform(F.array(words), made)[0])
+        # n bigrams take 2 n + 1 characters or more.
+        return F.when(F.length(segment) > 2 * least_n, F.transform(F.array(_words(segment)), made)[0])
 
-    text = text_of(docs)
     # A paragraph joins the lines between blank ones; one of a single line is that line already.
-    parts = F.concat(F.split(text, "\n", -1), F.filter(F.split(text, "\n[\\x20\\x09\\x0B-\\x0D]*\n"), lambda p: p.contains("\n")))
-    seg = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("_key"), F.explode_outer(F.transform(parts, grams)).alias("_g"))
+    parts = F.concat(F.split("_text", "\n", -1), F.filter(F.split("_text", "\n[\\x20\\x09\\x0B-\\x0D]*\n"), lambda p: p.contains("\n")))
+    seg = rows.select("doc_id", "_key", F.explode_outer(F.transform(parts, grams)).alias("_g"))
     seg = seg.where(F.size("_g").between(least_n - 1e-9, most_n + 1e-9))
-    table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, g)).alias("grams")) for n, g in known])
+    table = F.array(*[F.struct(F.lit(n).alias("license"), _listed(g).alias("grams")) for n, g, _ in known])
     pairs = seg.withColumn("_t", F.explode(table)).where(F.size("_g").between(F.size("_t.grams") * (least / (2 - least)) - 1e-9, F.size("_t.grams") * ((2 - least) / least) + 1e-9))
     dice = 2.0 * F.size(F.array_intersect("_g", "_t.grams")) / (F.size("_g") + F.size("_t.grams"))
-    pairs = pairs.select("doc_id", "_key", F.col("_t.license").alias("license"), dice.alias("dice")).where(F.col("dice") >= least)
-    pairs = pairs.unionByName(window_matches(docs, (*templates, *texts), least))
+    return pairs.select("doc_id", "_key", F.col("_t.license").alias("license"), dice.alias("dice")).where(F.col("dice") >= least)
+
+
+def license_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE, texts=TEXTS) -> DataFrame:
+    """doc_id, _key, license, dice: a row for each document and licence that it matches."""
+    rows = likely(docs, (*templates, *texts), least)
+    pairs = segment_matches(rows, templates, least).unionByName(window_matches(rows, (*templates, *texts), least))
     return pairs.groupBy("doc_id", "_key", "license").agg(F.max("dice").alias("dice"))
 
 
@@ -126,7 +163,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE
     """doc_id, n_licenses (long), licenses (names in order, comma-joined), license (best, first by name on ties), dice: one row per input row.
 
     Null and empty texts match nothing (license null, dice 0); repeated rows
-    of a document repeat its result.
+    of a document repeat its result, and two texts under one id are told apart;
+    an empty table gives an empty result.
     """
     found = license_matches(docs, templates, least, texts).groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))
     found = found.agg(F.array_sort(F.collect_set("license")).alias("_all"), F.array_sort(F.collect_list(F.struct((-F.col("dice")).alias("d"), "license"))).alias("_ranked"))

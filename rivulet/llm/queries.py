@@ -84,17 +84,26 @@ def _words(text: str) -> str:
 
 
 def _license_sql() -> str:
+    """Every line, paragraph and window against every template; windows only where the whole text shares enough of a template's bigrams."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({i}, {quoted(n)}, {quoted(' '.join(license_scan.template_words(t)))})" for i, (n, t) in enumerate(license_scan.TEMPLATES))
-    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    known = [(n, t, False) for n, t in license_scan.TEMPLATES] + [(n, t, True) for n, t in license_scan.TEXTS]
+    rows = ", ".join(f"({i}, {quoted(n)}, {quoted(' '.join(license_scan.template_words(t)))}, {whole})" for i, (n, t, whole) in enumerate(known))
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    least = license_scan.LEAST_DICE
+    dice = "2.0::DOUBLE * len(list_intersect(sg, tg)) / (len(sg) + len(tg))"
+    norm = "string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), ' ')"
     return f"""
-    WITH t AS (SELECT license, {grams} AS tg FROM (SELECT license, string_split(txt, ' ') AS w FROM (VALUES {rows}) v(i, license, txt))),
+    WITH t AS (SELECT i AS tid, license, whole, len(w) - 1 AS k, list_distinct({pairs}) AS tg FROM (SELECT i, license, whole, string_split(txt, ' ') AS w FROM (VALUES {rows}) v(i, license, txt, whole))),
     base AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
     seg AS (SELECT doc_id, unnest(string_split(txt, chr(10))) AS s FROM base
             UNION ALL SELECT doc_id, unnest(list_filter(string_split_regex(txt, '\\n[\\x20\\x09\\x0B-\\x0D]*\\n'), lambda p: contains(p, chr(10)))) FROM base),
-    g AS (SELECT doc_id, {grams} AS sg FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' '), ' ') AS w FROM seg) WHERE len(w) > 1),
-    d AS (SELECT doc_id, license, max(2.0::DOUBLE * len(list_intersect(sg, tg)) / (len(sg) + len(tg))) AS dice FROM g, t WHERE len(sg) < 100 GROUP BY ALL),
-    hit AS (SELECT * FROM d WHERE dice >= {license_scan.LEAST_DICE}),
+    g AS (SELECT doc_id, list_distinct({pairs}) AS sg FROM (SELECT doc_id, {norm.format("s")} AS w FROM seg) WHERE len(w) > 1),
+    whole AS (SELECT doc_id, {pairs} AS wg FROM (SELECT doc_id, {norm.format("txt")} AS w FROM base) WHERE len(w) > 1),
+    near AS (SELECT doc_id, license, wg, tg, k FROM whole, t WHERE len(list_intersect(wg, tg)) * (2 - {least}) >= {least} * len(tg) - 1e-9),
+    win AS (SELECT doc_id, license, tg, list_distinct(list_slice(wg, i, i + k - 1)) AS sg FROM (SELECT *, unnest(range(1, greatest(len(wg) - k + 1, 1) + 1)) AS i FROM near)),
+    d AS (SELECT doc_id, license, max(dice) AS dice FROM (
+        SELECT doc_id, license, {dice} AS dice FROM g, t WHERE NOT whole AND len(sg) < 100 UNION ALL SELECT doc_id, license, {dice} FROM win) GROUP BY ALL),
+    hit AS (SELECT * FROM d WHERE dice >= {least}),
     best AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS licenses, max(dice) AS dice FROM hit GROUP BY doc_id),
     name AS (SELECT hit.doc_id, min(license) AS license FROM hit JOIN best USING (doc_id) WHERE hit.dice = best.dice GROUP BY 1)
     SELECT b.doc_id, coalesce(n, 0) AS n_licenses, coalesce(licenses, '') AS licenses, name.license AS license, coalesce(dice, 0.0::DOUBLE) AS dice
@@ -153,8 +162,8 @@ _LINES = """
     k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l WHERE t <> ''),
     win AS (SELECT a.doc_id, a.i, b.i AS i2, c.i AS i3, a.t || chr(10) || b.t || chr(10) || c.t AS h
             FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.r = a.r + 1 JOIN k c ON a.doc_id = c.doc_id AND c.r = a.r + 2),
-    late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
-    gone AS (SELECT DISTINCT doc_id, unnest([i, i2, i3]) AS i FROM late),
+    late AS (SELECT * FROM (SELECT *, row_number() OVER o AS n, first_value(doc_id) OVER o AS d1, first_value(i3) OVER o AS e1 FROM win WINDOW o AS (PARTITION BY h ORDER BY doc_id, i)) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, d1, e1, unnest([i, i2, i3]) AS i FROM late) WHERE doc_id <> d1 OR i > e1),
     kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS txt
              FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY 1)
     SELECT doc_id, n_lines, n_removed, sha256(txt) AS text_sha256 FROM kept"""

@@ -40,8 +40,19 @@ def test_windows_equal_brute_force(spark):
             t[rng.randrange(len(t))] = rng.choice("abq")
         at = rng.randrange(len(words) + 1)
         texts.append(rng.choice([" ", "\n", ", "]).join(words[:at] + t + words[at:]) if i % 5 else " ".join(words[:4]))
-    got = {(r["doc_id"], r["license"]): r["dice"] for r in license_scan.window_matches(spark.createDataFrame(list(enumerate(texts)), SCHEMA), templates, 0.7).collect()}
+    got = {(r["doc_id"], r["license"]): r["dice"] for r in license_scan.window_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, _text string").selectExpr("*", "1L AS _key"), templates, 0.7).collect()}
     want = {(i, n): best_window(t, p) for i, t in enumerate(texts) for n, p in templates}
     want = {k: v for k, v in want.items() if v >= 0.7}
+    # No match is without an anchor word.
+    held = {r["doc_id"] for r in license_scan.likely(spark.createDataFrame(list(enumerate(texts)), SCHEMA), templates, 0.7).collect()}
+    assert held >= {i for i, _ in want}
+    assert license_scan.likely(spark.createDataFrame([(1, "no such words"), (2, None)], SCHEMA), license_scan.TEMPLATES, 0.85).isEmpty()
     assert len(want) > 60 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_templates_of_one_word_and_short_ones(spark):
+    """Bounds hold at the least sizes: one distinct word, one-letter words, ties and repeated rows."""
+    data = [(1, "a a"), (2, "x\na b c d e f g h\ny"), (3, "b a"), (4, "a b c d e f g i"), (4, "a b c d e f g i"), (4, "other")]
+    got = sorted((r["doc_id"], r["licenses"], r["license"]) for r in license_scan.license_scan(spark.createDataFrame(data, SCHEMA), templates=[("one", "a a"), ("z", "a b c d e f g h"), ("k", "h g a b c d e f g h")], least=0.75, texts=()).collect())
+    assert got == [(1, "one", "one"), (2, "k,z", "z"), (3, "", None), (4, "", None), (4, "k,z", "z"), (4, "k,z", "z")]

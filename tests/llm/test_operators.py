@@ -97,13 +97,15 @@ def test_token_counts(docs, rows):
     count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
     assert sorted(r["n_tokens"] for r in token_counts.token_counts(docs, path).collect()) == sorted(count(t or "") for _, t, *_ in rows)
     tables = token_counts.tables(path)
-    for _, t, *_ in rows[:40]:
-        norm = lib.normalizer.normalize_str((t or "").replace("<|", ""))[:300]
-        norm = lib.normalizer.normalize_str(norm)
+    texts = [t for _, t, *_ in rows[:40]] + ["hi <|endoftext|> there", "wow!!<|endoftext|><|startoftext|>It's", "<|ENDOFTEXT|> é<|endoftext|>\u0301x", "<|endoftext|>"]
+    for t in texts:
+        norm = "".join(a + b for a, b in tables.parts((t or "")[:300]))
         got = tables.prefix_counts(norm)
         assert got == [count(norm[: i + 1]) for i in range(len(norm))]
+        assert tables.prefix_counts((t or "")[:300])[-1:] == ([count(t[:300])] if norm else [])
         fit = tables.fit(norm, 20)
-        assert count(norm[:fit]) <= 20 and (fit == len(norm) or count(norm[: fit + 1]) > 20 or any(count(norm[:k]) > 20 for k in range(fit, len(norm) + 1)))
+        assert fit == max([k for k in range(len(norm) + 1) if count(norm[:k]) <= 20])
+    assert tables.count("hi <|endoftext|> there") == 3
 
 
 def test_near_duplicates(docs, rows):
@@ -204,6 +206,52 @@ def test_language_rejects_and_is_right(spark):
     assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got if r["doc_id"] > 900} == {999: ("und", 0.0), 1000: ("und", 0.0)}
 
 
+def test_language_sizes_ties_and_held_out(spark):
+    """Predictions equal plain zstandard sizes; held-out and unlabelled rows teach nothing; equal sizes go to the first name."""
+    import zlib
+
+    import zstandard
+
+    rng = random.Random(4)
+    kinds = {"xx": "the and of with house".split(), "yy": "und der die haus baum".split(), "yy2": "und der die haus baum".split()}
+    data = [(i, " ".join(rng.choice(kinds[k]) for _ in range(rng.randrange(1, 60))), k) for i, k in ((i, rng.choice(list(kinds))) for i in range(150))]
+    data += [data[3], (None, "qq ww ee rr", "zz"), (777, "\u0e01\u0e02 " * 3000, None)]
+    out = [i for i, *_ in data if i is not None and zlib.crc32(str(i).encode()) % 4 == 2]
+    data = [(i, t, "only held out" if i in out[:3] else k) for i, t, k in data]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    dictionaries = language.train(docs)
+    assert set(dictionaries) == set(kinds)
+    assert sum(len(v) for v in dictionaries.values()) == sum(len(t) + 1 for i, t, k in data if i is not None and i not in out and k) - 3
+    assert set(language.train(docs, languages=1)) == {max(kinds, key=lambda k: (sum(x[2] == k and x[0] not in out for x in data), [-ord(c) for c in k]))}
+
+    def size(t, raw):
+        c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        b = t.encode()
+        return sum(len(c.compress(b[i : i + language.BLOCK])) for i in range(0, len(b), language.BLOCK))
+
+    text = {(i, t) for i, t, _ in data}
+    got = language.language_id(docs).collect()
+    assert len(got) == len(data) and {r["doc_id"] for r in got if r["held_out"]} == set(out)
+    same = 0
+    for r in got:
+        t = next(t for i, t in text if i == r["doc_id"])
+        same += r["lang_pred"] == min((size(t, raw), k) for k, raw in sorted(dictionaries.items()))[1]
+    assert same >= 0.95 * len(got)
+
+
+def test_language_on_held_out_rows(spark):
+    """Accuracy on the held-out documents of the small test table."""
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    got = language.language_id(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    n, right = got.count(), got.where("lang = lang_pred").count()
+    assert n > 100 and right / n >= 0.93, (n, right)
+
+
 def test_lines(spark):
     text = "one one\ntwo two\nthree three\nfour four"
     df = spark.createDataFrame([(1, text), (2, "new\n" + text + "\nend"), (3, "two two \n three three"), (4, None)], "doc_id long, text string")
@@ -211,6 +259,16 @@ def test_lines(spark):
     assert got == {1: (4, 0, text), 2: (6, 4, "new\nend"), 3: (2, 0, "two two \n three three"), 4: (1, 0, "")}
 
 
+def test_lines_keep_the_first_of_overlapping_repeats(spark):
+    """Windows that overlap their own first occurrence; a null id; repeated rows; two texts under one id."""
+    data = [(1, "a a\n" * 4 + "b b"), (2, "p q\nr s\n" * 3 + "end"), (None, "k 1\nk 2\nk 3"), (7, "k 1\nk 2\nk 3\nk 4"), (7, "k 0\n k 2\n\nk 3\nk 4"), (9, "u\nv\nw"), (9, "u\nv\nw")]
+    got = sorted((str(r["doc_id"]), r["n_removed"], r["text"]) for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    want = [("1", 1, "a a\na a\na a\nb b"), ("2", 3, "p q\nr s\np q\nend"), ("9", 0, "u\nv\nw"), ("9", 0, "u\nv\nw"), ("None", 0, "k 1\nk 2\nk 3")]
+    assert [g for g in got if g[0] != "7"] == want
+    # One of the two texts of 7 comes first and keeps the window k 2, k 3, k 4.
+    assert sorted(g[1] for g in got if g[0] == "7") in ([0, 4], [3, 3], [0, 3], [3, 4])
+
+
 def test_licenses(docs):
     hits = [r["licenses"] for r in license_scan.license_scan(docs).collect() if r["n_licenses"]]
     assert hits == ["MIT"]
