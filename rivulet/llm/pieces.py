@@ -27,7 +27,7 @@ CHUNK = re.compile(" +[^ ]*")
 class ChunkTable(Recent):
     """chunk (its first marker as a space) -> its ids as little-endian uint32 bytes."""
 
-    GENERATION = 150_000
+    GENERATION = 100_000
 
     def __init__(self, model: str):
         import sentencepiece
@@ -96,7 +96,7 @@ def _encode(model: str, outputs: str):
         t = table(model)
         bos, eos = (array("I", [x]).tobytes() for x in (t.sp.bos_id(), t.sp.eos_id()))
         digests, short = outputs == "digests", outputs != "ids"
-        for b in slices(batches):
+        for b in slices(batches, size=2 << 20):
             done = 0
             # A group's ids go out as one buffer before the next group is encoded.
             for group in _grouped(b.column(1).to_pylist()):
