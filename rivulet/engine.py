@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from rivulet.errors import ViewError
 from rivulet.functions import zset as Z
 from rivulet.functions.zset import W
-from rivulet.plans.nodes import Node, Sql, Step, Table, Top
+from rivulet.plans.nodes import Node, Sql, Step, Table, Top, named
 from rivulet.sources.store import Store
 
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,254}")
@@ -23,6 +25,28 @@ _DDL = re.compile(
 )
 
 
+_NAMED = r"""(?P<table>[\w"`]+)"""
+_INSERT = re.compile(rf"\s*INSERT\s+INTO\s+(?:TABLE\s+)?{_NAMED}\s*(?:\((?P<columns>[\w\s,\"`]+)\)\s*)?(?P<rows>(?:VALUES|SELECT|WITH|FROM|TABLE)\b.+?)\s*;?\s*\Z", re.IGNORECASE | re.DOTALL)
+_DELETE = re.compile(rf"\s*DELETE\s+FROM\s+{_NAMED}(?:\s+WHERE\s+(?P<cond>.+?))?\s*;?\s*\Z", re.IGNORECASE | re.DOTALL)
+_UPDATE = re.compile(rf"\s*UPDATE\s+{_NAMED}\s+SET\s+(?P<set>.+?)(?:\s+WHERE\s+(?P<cond>.+?))?\s*;?\s*\Z", re.IGNORECASE | re.DOTALL)
+
+
+def _apart(text: str) -> list[str]:
+    """Parts between the commas that stand in no parentheses and no quotes."""
+    out, depth, quote, start = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "," and not depth:
+            out.append(text[start:i])
+            start = i + 1
+    return [*out, text[start:]]
+
+
 def _checked(name: str) -> str:
     if not NAME.fullmatch(name):
         raise ViewError(401, f"not a name: {name!r}", "letters, digits and _, at most 255, no digit first")
@@ -38,21 +62,27 @@ class Engine:
         self.last: dict[str, DataFrame] = {}
         self.generation: dict[str, int] = {}
         self.keys: dict[str, list[str]] = {}
-        self.auto_sync, self._held = True, None
-        self.done: set[int] = set()
+        #: Read the sources again before each query; publish after each batch.
+        self.auto_sync, self.autopersist, self._held = False, False, None
+        #: The last batch of each stream.
+        self.done: dict[str, int] = {}
+        self.sources: dict[str, Callable[[], DataFrame]] = {}
 
     # Catalog
-    def track(self, name: str, df: DataFrame) -> None:
-        """Register a table with its present rows (repeated rows count)."""
+    def track(self, name: str, df: DataFrame, source: Callable[[], DataFrame] | None = None) -> None:
+        """Register a table with its present rows (repeated rows count); source reads its contents again for sync()."""
         _checked(name)
         if name in self.tables or name in self.plans:
             raise ViewError(201, f"{name} exists")
         self.tables[name] = self.store.put(name, Z.weighted(df))
+        if source is not None:
+            self.sources[name] = source
 
     def untrack(self, name: str) -> None:
         self._must(name, self.tables)
         self._free(name)
         del self.tables[name]
+        self.sources.pop(name, None)
         self.store.drop(name)
 
     def _must(self, name: str, among) -> None:
@@ -96,6 +126,11 @@ class Engine:
         ours = {f for f in found if f in self.tables or f in self.plans}
         ctes = set(re.findall(r"CTE \[([^\]]+)\]", plan.toString()))
         names = {c.strip() for x in ctes for c in x.split(",")}
+        for n in sorted(found - ours - names):
+            # A table of Spark's catalog or a temporary view is tracked when a view first reads it.
+            if NAME.fullmatch(n) and self.spark.catalog.tableExists(n):
+                self.track(n, self.spark.table(n), lambda n=n: self.spark.table(n))
+                ours.add(n)
         if missing := found - ours - names:
             raise ViewError(202, f"not tracked: {', '.join(sorted(missing))}", "track it first")
         return ours
@@ -109,21 +144,20 @@ class Engine:
             self.texts[name], plan = plan, Sql(plan, self._reads(plan))
         for s in plan.sources():
             self._must(s, {*self.tables, *self.plans})
-        if isinstance(plan, Sql):
-            for s in plan.sources():
-                Z.rows(self.snapshot()[s]).createOrReplaceTempView(s)
-            if not self.spark.sql(plan.text)._jdf.queryExecution().analyzed().deterministic():
-                self.texts.pop(name, None)
-                raise ViewError(110, "the query is not deterministic")
         plan.number(f"_state_{name}")
         self.plans[name] = plan
+        before = self.store.state()
         try:
             self.order()
-            self.store.put(name, Z.consolidate(plan.full(self.snapshot())))
+            filled = plan.full(self.snapshot())
+            if not filled._jdf.queryExecution().analyzed().deterministic():
+                raise ViewError(110, "the query is not deterministic")
+            self.store.put(name, Z.consolidate(filled))
             plan.start(self.snapshot(), self.store.put)
         except Exception:
             del self.plans[name]
             self.texts.pop(name, None)
+            self.store.back(before)
             raise
         self.generation[name] = 0
 
@@ -145,20 +179,26 @@ class Engine:
         if name not in self.plans:
             raise ViewError(206, f"no view {name}")
         after = self.dependents(name)
-        old = {v: (self.plans[v], self.texts.get(v), list(self.store.segments[v]), self.store.schemas[v]) for v in [name, *after]}
-        del self.plans[name]
+        before = self.store.state()
+        old = [dict(d) for d in (self.plans, self.texts, self.last, self.generation, self.keys)]
+        self._forget(name)
         try:
             self.create_view(name, plan)
             for v in after:
                 self.store.put(v, Z.consolidate(self.plans[v].full(self.snapshot())))
                 self.plans[v].start(self.snapshot(), self.store.put)
         except Exception as e:
-            for v, (p, t, segments, schema) in old.items():
-                self.plans[v], self.store.segments[v], self.store.schemas[v] = p, segments, schema
-                if t:
-                    self.texts[v] = t
+            self.store.back(before)
+            self.plans, self.texts, self.last, self.generation, self.keys = old
             raise ViewError(304, f"{name} was not replaced: {e}") from e
 
+    def _forget(self, name: str) -> None:
+        """A view with all its state."""
+        for part in [name, *[s for s in self.store.segments if s.startswith(f"_state_{name}_") or s == f"_state_{name}"]]:
+            self.store.drop(part)
+        for d in (self.plans, self.texts, self.last, self.generation, self.keys):
+            d.pop(name, None)
+
     def drop_view(self, name: str, cascade: bool = False, if_exists: bool = False) -> str:
         if name not in self.plans:
             if if_exists:
@@ -170,20 +210,14 @@ class Engine:
         else:
             self._free(name)
         for v in gone:
-            for part in [v, *[s for s in self.store.segments if s.startswith(f"_state_{v}_") or s == f"_state_{v}"]]:
-                self.store.drop(part)
-            del self.plans[v]
-            for d in (self.texts, self.last, self.generation, self.keys):
-                d.pop(v, None)
+            self._forget(v)
         return f"dropped {', '.join(gone)}"
 
     def sql(self, text: str):
         """Materialized-view DDL; any other statement runs over the present tables and views."""
         m = _DDL.match(text)
         if not m:
-            for n in [*self.tables, *self.plans]:
-                self.query(n).createOrReplaceTempView(n)
-            return self.spark.sql(text)
+            return self._dml(text) or self._select(text)
         if m["create"]:
             name = m["cn"].strip('"`')
             if m["replace"] and name in self.plans:
@@ -196,21 +230,66 @@ class Engine:
         self._must(m["rn"].strip('"`'), self.plans)
         return "always fresh"
 
+    def _select(self, text: str) -> DataFrame:
+        """A query over the present tables and views, with the changes that a transaction holds."""
+        rows = {n: Z.rows(self._present(n)) for n in self.tables} | {n: self.query(n) for n in self.plans}
+        with named(self.spark, rows):
+            return self.spark.sql(text)
+
+    def _dml(self, text: str) -> str | None:
+        """INSERT, UPDATE and DELETE on tracked tables become changes of one batch."""
+        m = _INSERT.match(text)
+        if m:
+            table = self._table(m["table"])
+            new, columns = self._select(m["rows"]), [f.name for f in self.store.schemas[table] if f.name != W]
+            given = [c.strip().strip('"`') for c in m["columns"].split(",")] if m["columns"] else columns
+            if len(given) != len(new.columns) or not set(given) <= set(columns):
+                raise ViewError(402, f"{table} takes {', '.join(columns)}")
+            new = new.toDF(*given)
+            new = new.select(*[F.col(f"`{c}`") if c in given else F.lit(None).alias(c) for c in columns])
+            self.notify_insert(table, self.store.fixed(new))
+            return f"inserted into {table}"
+        m = _DELETE.match(text)
+        if m:
+            table = self._table(m["table"])
+            gone = self._select(f"SELECT * FROM {table} WHERE {m['cond'] or 'true'}")
+            self.notify_delete(table, self.store.fixed(gone))
+            return f"deleted from {table}"
+        m = _UPDATE.match(text)
+        if m:
+            table = self._table(m["table"])
+            columns = [f.name for f in self.store.schemas[table] if f.name != W]
+            pairs = [p.split("=", 1) for p in _apart(m["set"])]
+            changes = {c.strip().strip('"`'): e.strip() for c, e in pairs}
+            if not set(changes) <= set(columns):
+                raise ViewError(402, f"{table} has {', '.join(columns)}")
+            # Old and new images come from one evaluation, so that an expression that is not deterministic is taken once.
+            both = ", ".join(f"{changes.get(c, f'`{c}`')} AS `__new_{c}`" for c in columns)
+            hit = self.store.fixed(self._select(f"SELECT *, {both} FROM {table} WHERE {m['cond'] or 'true'}"))
+            self.notify_update(table, hit.select(*[F.col(f"`{c}`") for c in columns]), hit.select(*[F.col(f"`__new_{c}`").alias(c) for c in columns]))
+            return f"updated {table}"
+        return None
+
+    def _table(self, name: str) -> str:
+        name = name.strip('"`')
+        self._must(name, self.tables)
+        return name
+
     # Changes
     def snapshot(self) -> dict[str, DataFrame]:
         return {n: self.store.read(n) for n in self.store.segments if not n.startswith("_state_")}
 
-    def apply_batch(self, deltas: dict[str, DataFrame], batch_id: int | None = None) -> None:
-        """One pass over the views for changes (Z-sets) of any number of tables; a batch id is applied once."""
+    def apply_batch(self, deltas: dict[str, DataFrame], batch_id: int | None = None, stream: str = "") -> None:
+        """One pass over the views for changes (Z-sets) of any number of tables; a stream's batches come in order, each is applied once."""
         for t in deltas:
             self._must(t, self.tables)
-        if batch_id is not None and batch_id in self.done:
+        if batch_id is not None and batch_id <= self.done.get(stream, -1):
             return
         if self._held is not None:
             for t, d in deltas.items():
                 self._held[t] = Z.plus(self._held[t], d) if t in self._held else d
             return
-        before = {n: list(s) for n, s in self.store.segments.items()}
+        before, marks = self.store.state(), (dict(self.last), dict(self.generation))
         old = self.snapshot()
         step = Step(old, dict(old), {}, self._state, self.store.append, self.store.fixed)
         try:
@@ -228,12 +307,18 @@ class Engine:
                 self.last[v] = d
                 self.generation[v] += 1
         except Exception:
-            self.store.segments = before
+            self.store.back(before)
+            self.last, self.generation = marks
             raise
         for n in list(self.store.segments):
             self.store.compact(n)
+        for plan in self.plans.values():
+            plan.compact(self.store)
         if batch_id is not None:
-            self.done.add(batch_id)
+            self.done[stream] = batch_id
+        if self.autopersist:
+            self.publish()
+        self.store.sweep()
 
     def _state(self, name: str):
         return self.store.read(name) if name in self.store.segments else None
@@ -262,14 +347,18 @@ class Engine:
 
     insert = notify_insert
 
-    def delete(self, table: str, where: str) -> None:
+    def _present(self, table: str) -> DataFrame:
+        """A table's Z-set with what an open transaction holds."""
         self._must(table, self.tables)
-        self.apply_batch({table: Z.negate(Z.consolidate(self.store.read(table).where(where)))})
+        z = self.store.read(table)
+        return Z.plus(z, self._held[table].select(*z.columns)) if self._held and table in self._held else z
+
+    def delete(self, table: str, where: str) -> None:
+        self.apply_batch({table: self.store.fixed(Z.negate(Z.consolidate(self._present(table).where(where))))})
 
     def update(self, table: str, changes: dict[str, str], where: str = "true") -> None:
         """Both images: the old rows leave, the changed ones come."""
-        self._must(table, self.tables)
-        hit = self.store.fixed(Z.consolidate(self.store.read(table).where(where)))
+        hit = self.store.fixed(Z.consolidate(self._present(table).where(where)))
         types = dict(hit.dtypes)
         new = hit.select(*[F.expr(changes[c]).cast(types[c]).alias(c) if c in changes else F.col(c) for c in hit.columns])
         self.apply_batch({table: Z.plus(Z.negate(hit), new)})
@@ -277,12 +366,15 @@ class Engine:
     def merge(self, table: str, rows, key: list[str]) -> None:
         """Rows replace those with the same key; others are added."""
         new = Z.weighted(self._frame(table, rows))
-        self.apply_batch({table: Z.plus(Z.negate(Z.touched(Z.consolidate(self.store.read(table)), new, key)), new)})
+        self.apply_batch({table: Z.plus(Z.negate(Z.touched(Z.consolidate(self._present(table)), new, key)), new)})
 
     def sync(self, name: str | None = None, frames: dict[str, DataFrame] | None = None) -> None:
-        """Scan and diff: the given present contents (name -> DataFrame) against what is known."""
-        found = {n: d for n, d in (frames or {}).items() if name in (None, n)}
-        self.apply_batch({n: Z.difference(Z.weighted(self._frame(n, d)), self.store.read(n)) for n, d in found.items()})
+        """Scan and diff: the present contents (name -> DataFrame, else from the tables' sources) against what is known, in one batch."""
+        if frames is None:
+            frames = {n: f() for n, f in self.sources.items() if name in (None, n)}
+        found = {n: d for n, d in frames.items() if name in (None, n)}
+        changes = {n: self.store.fixed(Z.difference(Z.weighted(self._frame(n, d)), self.store.read(n))) for n, d in found.items()}
+        self.apply_batch({n: d for n, d in changes.items() if not d.isEmpty()})
 
     @contextmanager
     def transaction(self):
@@ -302,6 +394,8 @@ class Engine:
     def query(self, name: str) -> DataFrame:
         """A table's or view's rows, each as often as it counts; sorted if the view sorts."""
         self._must(name, {*self.tables, *self.plans})
+        if self.auto_sync and self._held is None and self.sources:
+            self.sync()
         out = Z.rows(self.store.read(name))
         plan = self.plans.get(name)
         return plan.ordered(out) if isinstance(plan, Top) else out
@@ -357,15 +451,20 @@ class Engine:
         return r[0], r[1]
 
     def save(self) -> None:
-        """Publish definitions and state; views made by builders are saved as results only."""
-        marks = {n: self.watermark(n) for n in [*self.tables, *self.plans]}
-        self.store.publish({"tables": list(self.tables), "views": [[v, self.texts.get(v)] for v in self.order()], "marks": marks, "done": sorted(self.done), "keys": self.keys})
+        """Publish definitions and state with watermarks of all contents; views made by builders are saved as results only."""
+        self.publish({n: self.watermark(n) for n in [*self.tables, *self.plans]})
+
+    def publish(self, marks: dict | None = None) -> None:
+        """Publish definitions, state and the streams' last batches in one write; without watermarks nothing is read."""
+        self.store.publish({"tables": list(self.tables), "views": [[v, self.texts.get(v)] for v in self.order()], "marks": marks or {}, "done": self.done, "keys": self.keys, "generation": self.generation})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, plans: dict[str, Node] | None = None) -> "Engine":
         """Restore a saved engine; plans gives builder views again by name. State that fails its watermark is refused."""
         if ".." in path.split("/"):
             raise ViewError(404, "path with ..")
+        if not re.match(r"\w+://", path) and os.path.islink(path):
+            raise ViewError(404, "path is a symbolic link")
         e = cls(spark, path)
         found = e.store.restore()
         e.tables = {t: e.store.read(t) for t in found["tables"]}
@@ -378,9 +477,9 @@ class Engine:
                 e.texts[v] = text
                 plan.reads = e._reads(text)
             plan.number(f"_state_{v}")
-            e.generation[v] = 0
+            e.generation[v] = found["generation"].get(v, 0)
         for n, mark in found["marks"].items():
             if list(e.watermark(n)) != list(mark):
                 raise ViewError(503, f"the state of {n} is not what was saved")
-        e.done, e.keys = set(found["done"]), found["keys"]
+        e.done, e.keys = found["done"], found["keys"]
         return e

@@ -45,7 +45,10 @@ def distinct(z: DataFrame) -> DataFrame:
 
 
 def rows(z: DataFrame) -> DataFrame:
-    """Plain rows: each as often as its weight says. """
+    """Plain rows: each as often as its weight says.  A stored table whose weights are all 1 is taken as it is, without a shuffle."""
+    ones = z.__dict__.get("_all_ones")
+    if ones is not None and ones():
+        return z.drop(W)
     z = consolidate(z).where(F.col(W) > 0)
     return z.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(W)))).drop("__i", W)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -61,6 +62,11 @@ class Node:
     def sources(self) -> set[str]:
         return set().union(*(c.sources() for c in self.children)) if self.children else set()
 
+    def compact(self, store) -> None:
+        """Rewrite state that has gathered many segments."""
+        for c in self.children:
+            c.compact(store)
+
     def start(self, at: dict[str, DataFrame], save) -> None:
         """Store the state that the delta rules below start from."""
         for c in self.children:
@@ -188,9 +194,14 @@ class ByKey(Node):
         if not found:
             return None
         keys = step.fixed(Z.plus(*found).distinct() if len(found) > 1 else found[0].distinct())
-        def part(at):
-            return self.apply(*(Z.touched(c.full(at), keys.toDF(*own), own) for c, own in zip(self.children, names)))
-        return Z.difference(part(step.new), part(step.old))
+        # The inputs are read once, restricted to the touched keys; as they are now is as they were plus the change, which has no other keys.
+        old, new = [], []
+        for c, own in zip(self.children, names):
+            before = step.fixed(Z.consolidate(Z.touched(c.full(step.old), keys.toDF(*own), own)))
+            d = c.delta(step)
+            old.append(before)
+            new.append(before if d is None else Z.plus(before, d.select(*before.columns)))
+        return Z.difference(self.apply(*new), self.apply(*old))
 
 
 class Join(ByKey):
@@ -309,6 +320,12 @@ class Sums(Node):
         super().start(at, save)
         save(self.name, self.parts(self.children[0].full(at)))
 
+    def compact(self, store):
+        super().compact(store)
+        if store.full(self.name):
+            state = self.merge(store.read(self.name))
+            store.put(self.name, state.where("__n <> 0") if self.by else state)
+
     def rule(self, step):
         d = self.children[0].delta(step)
         if d is None:
@@ -460,7 +477,9 @@ class Recursive(Node):
 
     union (set semantics) admits each row once, union_all adds weights.  An
     insert-only batch of the set form starts from what is there and follows
-    only new rows; other batches evaluate anew and take the difference.
+    only new rows, joined with the changes of the tables that body reads, so
+    body must use each of them once, as a join does; other batches evaluate
+    anew and take the difference.
     """
 
     LIMIT = 1000
@@ -501,13 +520,35 @@ class Recursive(Node):
         # Rows that earlier batches took back are still in the segments, at weight zero.
         own = step.fixed(Z.distinct(step.own))
         names = Z.columns(own)
-        seed = self.body(own, step.new).toDF(*own.columns)
+        # The body is linear in each table it reads: the changed tables are taken in turn, those before as they are now, those after as they were.
+        at, seeds = dict(step.old), []
+        for t in sorted(self.reads & set(step.deltas)):
+            seeds.append(self.body(own, at | {t: step.deltas[t]}).toDF(*own.columns))
+            at[t] = step.new[t]
+        seed = Z.plus(*seeds) if seeds else own.limit(0)
         d = self.children[0].delta(step)
         seed = Z.plus(seed, d.toDF(*own.columns)) if d is not None else seed
         fresh = Z.distinct(seed).alias("z").join(own.select(*names).alias("k"), Z.same(names, "z", "k"), "left_anti").select(*own.columns)
         return self._run(step.new, fresh, own)
 
 
+@contextmanager
+def named(spark, frames: dict[str, DataFrame]):
+    """frames as temporary views while a query is analyzed; views of the session by the same names come back."""
+    catalog = spark._jsparkSession.sessionState().catalog()
+    own = {n: spark.table(n) for n in frames if catalog.getTempView(n).isDefined()}
+    try:
+        for n, df in frames.items():
+            df.createOrReplaceTempView(n)
+        yield
+    finally:
+        for n in frames:
+            if n in own:
+                own[n].createOrReplaceTempView(n)
+            else:
+                spark.catalog.dropTempView(n)
+
+
 class Sql(Node):
     """A query in Spark SQL over tracked tables and views, evaluated as it is.
 
@@ -526,9 +567,8 @@ class Sql(Node):
 
     def query(self, at) -> DataFrame:
         some = next(iter(at.values())).sparkSession
-        for t in self.reads:
-            Z.rows(at[t]).createOrReplaceTempView(t)
-        return some.sql(self.text)
+        with named(some, {t: Z.rows(at[t]) for t in self.reads}):
+            return some.sql(self.text)
 
     def way(self, table: str, at) -> list[str] | None:
         if table not in self._ways:
