@@ -206,8 +206,24 @@ class PrefixTables(Recent):
 
     def fit(self, text: str, budget: int) -> int:
         """Code points of the longest prefix of the text's parts() with at most budget tokens."""
-        counts = self.prefix_counts(text)
-        return max((i + 1 for i, c in enumerate(counts) if c <= budget), default=0)
+        best = done = base = 0
+        for part, special in self.parts(text):
+            for m in WORD.finditer(part):
+                counts = self[m[0]]
+                if base + counts[-1] > budget:
+                    return max(best, done + m.start() + max((i + 1 for i, c in enumerate(counts) if base + c <= budget), default=0))
+                base += counts[-1]
+            best = done + len(part)
+            if special:
+                # Cut short, a special token may cost more than whole.
+                tail = self.plain_counts(part + special[:-1])
+                before = base - (tail[len(part) - 1] if part else 0)
+                best = max([best] + [done + i + 1 for i in range(len(part), len(tail)) if before + tail[i] <= budget])
+                base, done = base + 1, done + len(part) + len(special)
+                if base > budget:
+                    return best
+                best = done
+        return best
 
 
 @functools.lru_cache(maxsize=4)
