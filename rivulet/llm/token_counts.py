@@ -27,6 +27,7 @@ END = "</w>"
 PAIRS_SIZE = 400_000
 # The tokenizer's white space and word pattern.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACES = re.compile(f"[{SPACE}]+")
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 CONTRACTIONS = ("'re", "'ve", "'ll")
@@ -53,20 +54,31 @@ class PrefixTables(Recent):
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.specials = regex.compile("|".join(map(regex.escape, (t["content"] for t in spec["added_tokens"]))))
         self.library = Tokenizer.from_file(path)
-        # Each beginning of a token: 1 if it is a token inside a word, 2 if one at a word's end.
-        self.starts: dict[str, int] = {}
-        for t in self.vocab:
-            bare = t.removesuffix(END)
-            for i in range(1, len(bare)):
-                self.starts.setdefault(bare[:i], 0)
-            self.starts[bare] = self.starts.get(bare, 0) | (2 if t.endswith(END) else 1)
+        self.begin = self.tree()
         self.letters = byte_letters()
         #: token -> (rank, left, right) of the merge that makes it.
         self.made: dict[str, tuple[int, str, str]] = {}
         for (a, b), i in self.ranks.items():
             self.made.setdefault(a + b, (i, a, b))
         self.own: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: token -> whether each token asked for may follow it; n_pairs answers in all.
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+
+    def tree(self) -> dict[str, tuple]:
+        """The tokens by letters: letter -> (token inside a word, token at a word's end, letters that go on), empty where there is none."""
+        begin: dict[str, list] = {}
+        for t in self.vocab:
+            node, bare = [None, None, begin], t.removesuffix(END)
+            for c in bare:
+                node = node[2].setdefault(c, ["", "", {}])
+            node[t.endswith(END)] = t
+        none: dict[str, tuple] = {}
+
+        def firm(level):
+            return {c: (inner, end, firm(more)) for c, (inner, end, more) in level.items()} if level else none
+
+        return firm(begin)
 
     def merged(self, symbols: list[str]) -> list[str]:
         get = self.ranks.get
@@ -97,8 +109,8 @@ class PrefixTables(Recent):
         Seen backwards: the merge made last on either side is undone, and what
         then meets at the border must not be a pair that would have come first.
         """
-        key = before, token
-        known = self.pairs.get(key)
+        row = self.pairs.get(before)
+        known = None if row is None else row.get(token)
         if known is None:
             known = self.own.get(token)
             if known is None:
@@ -116,9 +128,11 @@ class PrefixTables(Recent):
                     limit, right = b[0] + 1, b[1]
                 else:
                     break
-            if len(self.pairs) >= PAIRS_SIZE:
+            if self.n_pairs >= PAIRS_SIZE:
                 self.pairs.clear()
-            self.pairs[key] = known
+                self.n_pairs = 0
+            self.pairs.setdefault(before, {})[token] = known
+            self.n_pairs += 1
         return known
 
     def run(self, u: str) -> list[int]:
@@ -126,23 +140,24 @@ class PrefixTables(Recent):
 
         last and count describe the prefixes as beginnings of longer words.
         """
-        n, starts, pairs, follows = len(u), self.starts.get, self.pairs.get, self.follows
+        n, begin, pairs, follows = len(u), self.begin, self.pairs, self.follows
         last, count, ended = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        unknown: dict[str, bool] = {}
         for j in range(n):
-            before, then = last[j], count[j] + 1
+            before, then, letters = last[j], count[j] + 1, begin
+            known = pairs.get(before, unknown).get
             for i in range(j + 1, n + 1):
-                t = u[j:i]
-                kind = starts(t)
-                if kind is None:  # no token begins so
+                node = letters.get(u[i - 1])
+                if node is None:  # no token begins so
                     break
-                if kind & 1 and not last[i]:
-                    ok = pairs((before, t))
-                    if follows(before, t) if ok is None else ok:
-                        last[i], count[i] = t, then
-                if kind & 2 and not ended[i]:
-                    t += END
-                    ok = pairs((before, t))
-                    if follows(before, t) if ok is None else ok:
+                inner, end, letters = node
+                if inner and not last[i]:
+                    ok = known(inner)
+                    if follows(before, inner) if ok is None else ok:
+                        last[i], count[i] = inner, then
+                if end and not ended[i]:
+                    ok = known(end)
+                    if follows(before, end) if ok is None else ok:
                         ended[i] = then
         return ended
 
@@ -158,6 +173,14 @@ class PrefixTables(Recent):
             out[1] = self["'"][-1] + self[word[1]][-1]
         return bytes(out) if max(out) < 256 else out
 
+    def normal(self, text: str) -> str:
+        """The text as the library normalises it: NFC, each run of white space one space, lower case; beyond U+024F by the library itself."""
+        if not text.isascii():
+            if max(text) >= "ɐ":
+                return self.library.normalizer.normalize_str(text)
+            text = unicodedata.normalize("NFC", text)
+        return SPACES.sub(" ", text).lower()
+
     def words(self, text: str) -> list[str]:
         """The tokenizer's words of a text without special tokens."""
         if text.isascii():
@@ -173,12 +196,12 @@ class PrefixTables(Recent):
         return len(parts) - 1 + sum([get(w)[-1] for part in parts for w in self.words(part)])
 
     def parts(self, text: str):
-        """The text between special tokens in lower-cased NFC form, each with the special token that follows it (none after the last)."""
+        """The text between special tokens as normal() gives it, each with the special token that follows it (none after the last)."""
         at = 0
         for m in self.specials.finditer(text):
-            yield self.library.normalizer.normalize_str(text[at : m.start()]), m[0]
+            yield self.normal(text[at : m.start()]), m[0]
             at = m.end()
-        yield self.library.normalizer.normalize_str(text[at:]), ""
+        yield self.normal(text[at:]), ""
 
     def plain_counts(self, text: str) -> list[int]:
         """Token count of every prefix of a normalised text without special tokens."""
@@ -248,7 +271,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """doc_id, n_bytes, n_tokens (long), over_limit, cut_at: one row per input row, no shuffle.
 
     cut_at, of a text over the limit only: code points of its longest prefix
-    within the limit, in lower-cased NFC form but for special tokens.  Null and empty texts have 0 tokens; repeated rows repeat their result.
+    within the limit, as the library normalises it but for special tokens.  Null and empty texts have 0 tokens; repeated rows repeat their result.
     vocabulary: a tokenizer file on every executor.
     """
     slim = ship(docs).select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text"))
