@@ -4,7 +4,8 @@ No piece of the model holds a whitespace marker after another character, so no
 merge crosses the start of a marked word.  A text is split before each run of
 markers, every distinct chunk is segmented once by the library, and the ids are
 joined back by position.  Chunk tables live in the Python workers, bounded in
-size, so words are never shuffled.
+size, so words are never shuffled.  A chunk is written without its first marker,
+so a text is its chunks joined by spaces.
 """
 
 from __future__ import annotations
@@ -21,11 +22,17 @@ from pyspark.sql import DataFrame
 from rivulet.llm.common import Recent, ship, slices, text_of
 
 MARK = "▁"
-CHUNK = re.compile(" +[^ ]*")
+CHUNK = re.compile(" ( *[^ ]*)")
+
+
+def chunks_of(text: str) -> list[str]:
+    if "  " in text or text[:1] in ("", " "):
+        return CHUNK.findall(" " + text) if text else []
+    return text.split(" ")
 
 
 class ChunkTable(Recent):
-    """chunk (its first marker as a space) -> its ids as little-endian uint32 bytes."""
+    """chunk -> its ids as little-endian uint32 bytes."""
 
     GENERATION = 100_000
 
@@ -42,33 +49,42 @@ class ChunkTable(Recent):
         self.changed: dict[str, str] = {}
 
     def segment(self, chunks: list[str]) -> list[bytes]:
-        # The library puts a marker before what it gets; the chunk's own first marker stands for it.
-        ids = self.sp.encode([c[1:] for c in chunks], num_threads=1)
-        ids = [i if len(c) > 1 else [self.mark] for i, c in zip(ids, chunks)]
-        # The first marker is dropped in decoding, as at the start of a text; here it is a space.
+        # The library puts a marker before what it gets: the chunk's first.
+        ids = [i if c else [self.mark] for i, c in zip(self.sp.encode(chunks, num_threads=1), chunks)]
+        # That marker is dropped in decoding, as at the start of a text.
         for c, back in zip(chunks, self.sp.decode(ids, num_threads=1)):
-            if " " + back != c:
-                self.changed[c] = " " + back
+            if back != c:
+                self.changed[c] = back
         return [array("I", i).tobytes() for i in ids]
 
+    def find(self, wanted: set[str]) -> dict[str, bytes]:
+        """The ids of all wanted chunks; those in neither generation are segmented in one call.
+
+        Nothing is put before all are found, so a generation that ends here takes none of them away:
+        a call of the library for a single chunk costs many times a chunk's share of a call for thousands.
+        """
+        found = {c: ids for c in wanted if (ids := self.get(c) or self.old.get(c)) is not None}
+        new = [c for c in wanted if c not in found]
+        if new:
+            found.update(zip(new, self.segment(new)))
+        for c, ids in found.items():
+            if c not in self:
+                self.put(c, ids)
+        return found
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids without begin and end, and the text that they decode to."""
         texts = [t.replace(MARK, " ") for t in texts]
-        chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        new = [c for c in set().union(*chunks) if c not in self and c not in self.old]
-        now = dict(zip(new, self.segment(new))) if new else {}
-        for c, ids in now.items():
-            self.put(c, ids)
+        chunks = [chunks_of(t) for t in texts]
+        found = self.find(set().union(*chunks))
         if len(self.changed) > 2 * self.GENERATION:
             # A chunk outside the tables is noted again when it is segmented again; those of this group stay.
-            own = now.keys() | set().union(*chunks)
-            self.changed = {c: d for c, d in self.changed.items() if c in self or c in self.old or c in own}
-        self.make = lambda chunk: now[chunk] if chunk in now else self.segment([chunk])[0]
+            self.changed = {c: d for c, d in self.changed.items() if c in self or c in self.old or c in found}
         out = []
         for t, own in zip(texts, chunks):
-            ids = b"".join(map(self.__getitem__, own))
+            ids = b"".join([found[c] for c in own])
             if self.changed and not self.changed.keys().isdisjoint(own):
-                t = "".join([self.changed.get(c, c) for c in own])[1:]
+                t = " ".join([self.changed.get(c, c) for c in own])
             out.append((ids, t))
         return out
 

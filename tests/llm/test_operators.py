@@ -89,6 +89,24 @@ def test_pieces(docs, rows):
     assert sorted(r["text"] for r in pieces.decode(found, path).collect()) == sorted(w[1] for w in want)
 
 
+def test_pieces_segments_a_group_in_one_call(rows):
+    """Also where a generation of the table ends inside a group; ids and texts stay the library's."""
+    table = pieces.ChunkTable(public_tokenizers.path("piece_bpe_32k.model"))
+    table.GENERATION = 40
+    asked, segment = [], table.segment
+    table.segment = lambda chunks: asked.append(list(chunks)) or segment(chunks)
+    texts = [t or "" for _, t, *_ in rows] + [" ", "  ", "a ", " a", "  a  b ", "a   \n  b", "▁", "▁▁a", "é\0😀 \U0010ffff", "y" * 70 + " z"]
+    for _ in range(2):
+        for k in range(0, len(texts), 12):
+            asked.clear()
+            got = table.encode(texts[k : k + 12])
+            assert len(asked) <= 1 and all(len(a) == len(set(a)) for a in asked)
+            for t, (ids, decoded) in zip(texts[k : k + 12], got):
+                want = table.sp.encode(t)
+                assert (list(memoryview(ids).cast("I")), decoded) == (want, table.sp.decode(want))
+            assert len(table) <= 40 and len(table.old) <= 40
+
+
 def test_token_counts(docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
