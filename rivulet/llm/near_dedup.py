@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, keyed_join, ship, slices, text_of, with_bound
+from rivulet.llm.common import cut, keyed_join, lean, ship, slices, text_of, with_bound
 
 BINS = 256
 #: Centres of a rare shingle: so many in the first round, times so many in each next one.
@@ -149,7 +149,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, _key, n_shingles, digest of the whole set, band hashes, _row (a number of its own); the sets themselves are not kept; written."""
     slim = _slim(docs)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    out = slim.mapInArrow(_sketch(width, bands, rows), f"doc_id {kind}, _key long, n_shingles long, digest binary, bands array<long>")
+    out = slim.mapInArrow(lean(_sketch(width, bands, rows)), f"doc_id {kind}, _key long, n_shingles long, digest binary, bands array<long>")
     return cut(out.withColumn("_row", F.monotonically_increasing_id()))
 
 
@@ -158,7 +158,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     wanted = with_bound(reps.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "rep"))
     slim = _slim(docs)
     texts = slim.join(wanted, slim["doc_id"].eqNullSafe(F.col("_d")) & (slim["_key"] == F.col("_k"))).select("rep", "text")
-    return cut(texts.mapInArrow(_pack(width), "rep long, n long, packed binary").dropDuplicates(["rep"]))
+    return cut(texts.mapInArrow(lean(_pack(width)), "rep long, n long, packed binary").dropDuplicates(["rep"]))
 
 
 def _shingles(batches):
@@ -181,7 +181,7 @@ def rare_shingles(sets: DataFrame, threshold: int) -> DataFrame:
     place in the order: sets that first meet at places p and q have at most
     min(n - p, m - q) shingles in common.
     """
-    seen = sets.select("rep", "packed").mapInArrow(_shingles, "rep long, shingle long")
+    seen = sets.select("rep", "packed").mapInArrow(lean(_shingles), "rep long, shingle long")
     often = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
     per = seen.join(often, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("_df", "shingle"))).alias("_s"))
     room = F.expr(f"n - ({threshold} * n + 99) div 100 + 1 - (n - size(_s))").cast("int")
@@ -212,7 +212,7 @@ def confirm(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     left = sets.select(F.col("rep").alias("hub"), F.col("packed").alias("_a"), F.col("n").alias("_n"))
     ratio = 100 * F.least("_n", "n") >= threshold * F.greatest("_n", "n")
     both = edges.join(sets, "rep").join(left, "hub").where(ratio)
-    return cut(both.select("hub", "rep", F.col("packed").alias("_b"), "_a").mapInArrow(_confirm(threshold), "hub long, rep long"))
+    return cut(both.select("hub", "rep", F.col("packed").alias("_b"), "_a").mapInArrow(lean(_confirm(threshold)), "hub long, rep long"))
 
 
 def contract(ends: DataFrame) -> DataFrame | None:

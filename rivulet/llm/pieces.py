@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rivulet.llm.common import Recent, ship, slices, text_of
+from rivulet.llm.common import Recent, lean, ship, slices, text_of
 
 MARK = "▁"
 CHUNK = re.compile(" ( *[^ ]*)")
@@ -89,7 +89,7 @@ class ChunkTable(Recent):
         return out
 
 
-def _grouped(texts: list[str], chars: int = 1_000_000):
+def _grouped(texts: list[str], chars: int = 250_000):
     """Runs of texts of about so many code points, so that their chunks fit in memory."""
     group, size = [], 0
     for t in texts:
@@ -129,7 +129,7 @@ def _encode(model: str, outputs: str):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(group)), n, ids, pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
                 done += len(group)
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, model: str, outputs: str = "ids") -> DataFrame:

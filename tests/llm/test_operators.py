@@ -107,6 +107,29 @@ def test_pieces_segments_a_group_in_one_call(rows):
             assert len(table) <= 40 and len(table.old) <= 40
 
 
+def test_pieces_give_freed_memory_back():
+    """What earlier tasks of a worker freed, and what this one did; texts go in small groups, each in its place."""
+    import ctypes
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("not glibc")
+    mb = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    run = pieces._encode(public_tokenizers.path("piece_bpe_32k.model"), "ids and digest")
+    texts = ["one two  three " * 500, "", "x" * 300_000] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(texts)], ["doc_id", "text"])
+    list(run([batch.slice(0, 3)]))
+    blocks = [bytes(4000) for _ in range(40_000)]
+    blocks = blocks[::400]  # these keep the heap from shrinking by itself
+    before = mb()
+    found = pa.Table.from_batches(run([batch]))
+    assert found["doc_id"].to_pylist() == list(range(120)) and len(set(found["n_tokens"].to_pylist())) == 3
+    assert before - mb() > 80 and len(blocks) == 100
+    assert max(sum(map(len, g)) for g in pieces._grouped(["a" * 10_000] * 300)) <= 250_000
+
+
 def test_token_counts(docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
