@@ -44,13 +44,36 @@ def distinct(z: DataFrame) -> DataFrame:
     return consolidate(z).where(F.col(W) > 0).withColumn(W, F.lit(1).cast("long"))
 
 
+def all_ones(z: DataFrame) -> bool:
+    """Whether z is known to hold weights of 1 only."""
+    ones = z.__dict__.get("_all_ones")
+    return ones is not None and ones()
+
+
+def like(out: DataFrame, z: DataFrame) -> DataFrame:
+    """out, made from z without a change of any weight, with what is known of z's weights."""
+    if "_all_ones" in z.__dict__:
+        out._all_ones = z._all_ones
+    return out
+
+
+def settled(z: DataFrame) -> DataFrame:
+    """z without negative weights: consolidated, unless its weights are all 1."""
+    return z if all_ones(z) else consolidate(z).where(F.col(W) > 0)
+
+
+#: The longest array that rows() makes of one weight.
+RUN = 4096
+
+
 def rows(z: DataFrame) -> DataFrame:
     """Plain rows: each as often as its weight says.  A stored table whose weights are all 1 is taken as it is, without a shuffle."""
-    ones = z.__dict__.get("_all_ones")
-    if ones is not None and ones():
+    if all_ones(z):
         return z.drop(W)
     z = consolidate(z).where(F.col(W) > 0)
-    return z.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(W)))).drop("__i", W)
+    # In runs, since one row may count many million times.
+    z = z.withColumn("__i", F.explode(F.expr(f"sequence(0L, ({W} - 1) div {RUN})")))
+    return z.withColumn("__i", F.explode(F.expr(f"sequence(1L, least({RUN}L, {W} - __i * {RUN}))"))).drop("__i", W)
 
 
 def same(names: list[str], left: str, right: str) -> Column:

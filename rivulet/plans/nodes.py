@@ -183,6 +183,10 @@ class ByKey(Node):
     def apply(self, *inputs: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def gathered(self, z: DataFrame) -> DataFrame:
+        """What apply needs of an input's rows, to be stored for a batch."""
+        return Z.consolidate(z)
+
     def full(self, at):
         return self.apply(*(c.full(at) for c in self.children))
 
@@ -197,7 +201,7 @@ class ByKey(Node):
         # The inputs are read once, restricted to the touched keys; as they are now is as they were plus the change, which has no other keys.
         old, new = [], []
         for c, own in zip(self.children, names):
-            before = step.fixed(Z.consolidate(Z.touched(c.full(step.old), keys.toDF(*own), own)))
+            before = step.fixed(self.gathered(Z.touched(c.full(step.old), keys.toDF(*own), own)))
             d = c.delta(step)
             old.append(before)
             new.append(before if d is None else Z.plus(before, d.select(*before.columns)))
@@ -266,6 +270,20 @@ class Mark(Node):
         return hit.select(*Z.columns(left), mark.alias(self.name_), W)
 
 
+def _by_weight(z: DataFrame, text: str):
+    """count, min or max of one argument as an aggregate over settled weights, or None if text is anything else."""
+    e = z.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    if e.getClass().getSimpleName() != "UnresolvedFunction" or e.nameParts().size() != 1 or e.arguments().size() != 1 or e.isDistinct() or e.filter().isDefined():
+        return None
+    kind = e.nameParts().apply(0).lower()
+    if kind in ("min", "max"):
+        return F.expr(text)
+    if kind != "count":
+        return None
+    x = text[text.index("(") + 1 : text.rindex(")")].strip()
+    return F.coalesce(F.sum(W if x == "*" else F.when(F.expr(x).isNotNull(), F.col(W)).otherwise(0)), F.lit(0)).cast("long")
+
+
 class Group(ByKey):
     """Any aggregate expressions over plain rows; touched groups are re-evaluated.  No keys: always one row."""
 
@@ -275,10 +293,26 @@ class Group(ByKey):
     def keys(self):
         return [self.by] if self.by else None
 
+    def narrow(self, z):
+        """z with the columns that keys and aggregates read, so that nothing else is shuffled and written."""
+        plan = z.groupBy(*self.by).agg(*[F.expr(e).alias(n) for n, e in self.aggs.items()])._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "Aggregate":
+            return z
+        read = plan.references().toSeq()
+        names = {read.apply(i).name() for i in range(read.size())}
+        return Z.like(z.select(*[F.col(f"`{c}`") for c in Z.columns(z) if c in names], W), z)
+
+    def gathered(self, z):
+        return Z.consolidate(self.narrow(z))
+
     def apply(self, z):
-        exprs = [F.expr(e).alias(n) for n, e in self.aggs.items()]
-        plain = Z.rows(z)
-        return Z.weighted(plain.groupBy(*self.by).agg(*exprs) if self.by else plain.agg(*exprs))
+        z = self.narrow(z)
+        exprs = {n: _by_weight(z, e) for n, e in self.aggs.items()}
+        if any(e is None for e in exprs.values()):
+            exprs, plain = {n: F.expr(e) for n, e in self.aggs.items()}, Z.rows(z)
+        else:
+            plain = Z.settled(z)
+        return Z.weighted(plain.groupBy(*self.by).agg(*[e.alias(n) for n, e in exprs.items()]))
 
 
 class Sums(Node):
@@ -450,11 +484,18 @@ class Top(Node):
 
 
 class Grouping(Node):
-    """GROUPING SETS: one grouped branch a set over a shared input, missing keys as typed nulls."""
+    """GROUPING SETS: one grouped branch a set over a shared input, missing keys as typed nulls.
+
+    In a batch the input is read once for each set that contains no other set:
+    its touched rows hold those of the sets that contain it.  They are stored
+    with the columns that are read, equal rows added up.
+    """
 
     def __init__(self, child, keys, sets, aggs):
         self.children = tuple(Group(child, list(s), aggs) for s in sets)
         self.child, self.by, self.sets, self.aggs = child, keys, sets, aggs
+        #: Reads what any of the sets reads.
+        self.whole = Group(child, list(keys), aggs)
 
     def _fill(self, z: DataFrame, have, at) -> DataFrame:
         types = dict(at.dtypes)
@@ -462,14 +503,29 @@ class Grouping(Node):
         cols = [F.col(k) if k in have else F.lit(None).cast(types[k]).alias(k) for k in self.by]
         return z.select(*cols, *self.aggs, F.lit(bits).cast("long").alias("grouping_id"), W)
 
+    def _apply(self, z: DataFrame, those) -> DataFrame:
+        return Z.plus(*(self._fill(self.children[i].apply(z), self.sets[i], z) for i in those))
+
     def full(self, at):
-        base = self.child.full(at)
-        return Z.plus(*(self._fill(c.full(at), s, base) for c, s in zip(self.children, self.sets)))
+        return self._apply(self.child.full(at), range(len(self.sets)))
 
     def rule(self, step):
-        base = self.child.full(step.new)
-        parts = [self._fill(d, s, base) for c, s in zip(self.children, self.sets) if (d := c.delta(step)) is not None]
-        return Z.plus(*parts) if parts else None
+        d = self.child.delta(step)
+        if d is None:
+            return None
+        held: dict[tuple, list[int]] = {}
+        least = [s for s in self.sets if not any(set(o) < set(s) for o in self.sets)]
+        for i, s in enumerate(self.sets):
+            held.setdefault(tuple(next(o for o in least if set(o) <= set(s))), []).append(i)
+        parts = []
+        for own, those in held.items():
+            old, keys = self.child.full(step.old), None
+            if own:
+                keys = step.fixed(d.select(*[F.col(f"`{k}`") for k in own]).distinct())
+            before = step.fixed(self.whole.gathered(Z.touched(old, keys, list(own))))
+            after = step.fixed(Z.consolidate(Z.plus(before, d.select(*before.columns))))
+            parts.append(Z.difference(self._apply(after, those), self._apply(before, those)))
+        return Z.plus(*parts)
 
 
 class Recursive(Node):
