@@ -83,4 +83,4 @@ def same(names: list[str], left: str, right: str) -> Column:
 
 def touched(z: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     """The rows of z whose key columns are among keys."""
-    return z.alias("z").join(keys.select(*names).alias("k"), same(names, "z", "k"), "left_semi") if names else z
+    return like(z.alias("z").join(keys.select(*names).alias("k"), same(names, "z", "k"), "left_semi"), z) if names else z

@@ -14,6 +14,7 @@ the change of the result, or None if nothing below changed:
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.errors import ViewError
+from rivulet.functions import ranks
 from rivulet.functions import zset as Z
 from rivulet.functions.zset import W
 from rivulet.plans.sqlrules import way
@@ -136,7 +138,8 @@ class Select(Node):
         self.children, self.exprs = (child,), exprs
 
     def full(self, at):
-        return self.children[0].full(at).selectExpr(*self.exprs, W)
+        z = self.children[0].full(at)
+        return Z.like(z.selectExpr(*self.exprs, W), z)
 
     def rule(self, step):
         d = self.children[0].delta(step)
@@ -148,7 +151,8 @@ class Where(Node):
         self.children, self.cond = (child,), cond
 
     def full(self, at):
-        return self.children[0].full(at).where(self.cond)
+        z = self.children[0].full(at)
+        return Z.like(z.where(self.cond), z)
 
     def rule(self, step):
         d = self.children[0].delta(step)
@@ -284,8 +288,30 @@ def _by_weight(z: DataFrame, text: str):
     return F.coalesce(F.sum(W if x == "*" else F.when(F.expr(x).isNotNull(), F.col(W)).otherwise(0)), F.lit(0)).cast("long")
 
 
+_RANKED = re.compile(r"\s*(?P<cast>CAST\s*\(\s*)?(?:(?P<kind>MEDIAN|MAD)\s*\((?P<x>.+)\)|PERCENTILE_(?P<how>CONT|DISC)\s*\(\s*(?P<q>[01]|0?\.\d+)\s*\)\s*WITHIN\s+GROUP\s*\(\s*ORDER\s+BY\s(?P<y>.+)\))(?(cast)\s+AS\s+(?P<type>\w+)\s*\))\s*", re.IGNORECASE | re.DOTALL)
+
+
+def _ranked(text: str):
+    """(expression, percentage or None for mad, whether discrete, type to cast to) of median, mad and percentiles, or None."""
+    m = _RANKED.fullmatch(text)
+    if not m:
+        return None
+    x, depth = m["x"] or m["y"], 0
+    for c in x:
+        depth += (c == "(") - (c == ")")
+        if depth < 0 or c in "'\"`" or (c == "," and not depth):
+            return None
+    if depth or re.search(r"\b(DISTINCT|ALL|ASC|DESC|NULLS)\b", x, re.IGNORECASE):
+        return None
+    return x, None if (m["kind"] or "").upper() == "MAD" else float(m["q"] or 0.5), (m["how"] or "").upper() == "DISC", m["type"] or "double"
+
+
 class Group(ByKey):
-    """Any aggregate expressions over plain rows; touched groups are re-evaluated.  No keys: always one row."""
+    """Any aggregate expressions over plain rows; touched groups are re-evaluated.  No keys: always one row.
+
+    mad(x) is the median of the distances to the median.  Percentiles of numbers
+    are found by counting (functions/ranks.py), other aggregates are Spark's.
+    """
 
     def __init__(self, child, keys, aggs):
         self.children, self.by, self.aggs = (child,), keys, aggs
@@ -295,7 +321,8 @@ class Group(ByKey):
 
     def narrow(self, z):
         """z with the columns that keys and aggregates read, so that nothing else is shuffled and written."""
-        plan = z.groupBy(*self.by).agg(*[F.expr(e).alias(n) for n, e in self.aggs.items()])._jdf.queryExecution().analyzed()
+        aggs = {n: f"max({r[0]})" if (r := _ranked(e)) else e for n, e in self.aggs.items()}
+        plan = z.groupBy(*self.by).agg(*[F.expr(e).alias(n) for n, e in aggs.items()])._jdf.queryExecution().analyzed()
         if plan.getClass().getSimpleName() != "Aggregate":
             return z
         read = plan.references().toSeq()
@@ -303,16 +330,26 @@ class Group(ByKey):
         return Z.like(z.select(*[F.col(f"`{c}`") for c in Z.columns(z) if c in names], W), z)
 
     def gathered(self, z):
-        return Z.consolidate(self.narrow(z))
+        z = self.narrow(z)
+        return Z.settled(z) if any(_ranked(e) for e in self.aggs.values()) else Z.consolidate(z)
 
     def apply(self, z):
         z = self.narrow(z)
-        exprs = {n: _by_weight(z, e) for n, e in self.aggs.items()}
+        ranked = {n: r for n, e in self.aggs.items() if (r := _ranked(e)) and dict(z.selectExpr(f"{r[0]} AS x").dtypes)["x"].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))}
+        exprs = {n: _by_weight(z, e) for n, e in self.aggs.items() if n not in ranked}
         if any(e is None for e in exprs.values()):
-            exprs, plain = {n: F.expr(e) for n, e in self.aggs.items()}, Z.rows(z)
-        else:
+            exprs, plain = {n: F.expr(e) for n, e in self.aggs.items() if n not in ranked}, Z.rows(z)
+        elif exprs:
             plain = Z.settled(z)
-        return Z.weighted(plain.groupBy(*self.by).agg(*[e.alias(n) for n, e in exprs.items()]))
+        else:
+            # Only which groups there are: their rows count more than nothing.
+            plain = z.groupBy(*self.by).agg(F.sum(W).alias(W)).where(f"{W} > 0")
+        out = plain.groupBy(*self.by).agg(*[e.alias(n) for n, e in exprs.items()], F.lit(1).alias("__one")).drop("__one")
+        for n, (x, q, exact, kind) in ranked.items():
+            v = z.select(*[F.col(f"`{k}`") for k in self.by], F.expr(x).alias("__v"), W)
+            found = ranks.mad(v, self.by) if q is None else ranks.percentile(v, self.by, q, exact)
+            out = ranks.meet(out, found.select(*self.by, F.col("__p").cast(kind).alias(n)), self.by, "left")
+        return Z.weighted(out.select(*self.by, *self.aggs))
 
 
 class Sums(Node):

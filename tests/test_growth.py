@@ -47,3 +47,25 @@ def test_grouping_sets_store_gathered_rows(spark, name):
 def test_rows_of_great_weight(spark):
     z = spark.createDataFrame([("a", 10_000), ("b", 1), ("c", Z.RUN), ("d", -1)], "k string, __w long")
     assert {r[0]: r[1] for r in Z.rows(z).groupBy("k").count().collect()} == {"a": 10_000, "b": 1, "c": Z.RUN}
+
+
+def test_percentiles_are_found_by_counting(spark):
+    df = spark.range(3000).selectExpr("nullif(id % 4, 2) AS g", "CASE WHEN id % 4 = 3 OR id % 11 = 0 THEN NULL ELSE CAST(id * 7919 % 1009 AS INT) END AS x", "'pad' AS pad")
+    aggs = {"md": "median(x)", "q": "percentile_cont(0.9) WITHIN GROUP (ORDER BY x)", "d": "cast(percentile_disc(0.25) WITHIN GROUP (ORDER BY x) AS bigint)", "n": "count(x)"}
+    e = Engine(spark)
+    e.track("t", df)
+    e.create_view("v", T("t").group(["g"], **aggs, far="mad(x)"))
+    e.create_view("w", T("t").group([], md="median(x)", far="mad(x)"))
+    e.create_view("none", T("t").where("x < 0").group([], md="median(x)"))
+    plan = e.plans["v"].full(e.snapshot())._jdf.queryExecution().executedPlan().toString().lower()
+    assert "percentile(" not in plan and "median(" not in plan and "percentile_disc(" not in plan and "percentile_cont(" not in plan
+    gone = df.where("x % 3 = 0 OR g = 1 AND x > 100").limit(400)
+    gone = spark.createDataFrame(gone.collect(), gone.schema)
+    e.apply_batch({"t": Z.weighted(gone, -1)})
+    df.exceptAll(gone).createOrReplaceTempView("ranked")
+    sql = "(SELECT {g} median(abs(x - m)) FROM (SELECT *, median(x) OVER ({p}) AS m FROM ranked) {by})"
+    far = {str(r[0]): str(r[1]) for r in spark.sql(sql.format(g="g,", p="PARTITION BY g", by="GROUP BY g")).collect()}
+    want = {str(r[0]): (*map(str, r[1:]), far[str(r[0])]) for r in spark.sql(f"SELECT g, {', '.join(aggs.values())} FROM ranked GROUP BY g").collect()}
+    assert {str(r[0]): tuple(map(str, r[1:])) for r in e.query("v").collect()} == want
+    assert bag(e.query("w")) == bag(spark.sql(f"SELECT (SELECT median(x) FROM ranked), {sql.format(g='', p='', by='')}"))
+    assert bag(e.query("none")) == Counter({("None",): 1})
